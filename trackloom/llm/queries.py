@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe
+from trackloom.llm import bpe, quality
 from trackloom.llm.decontamination import find_contamination
+from trackloom.llm.ngram_join import near_duplicates
 from trackloom.llm.substring_dedup import dedup_digests
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -29,6 +30,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda i: quality.fold(i, 5) == 0)
+    held_out = F.coalesce(quality.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents"))
 

@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, quality
+from trackloom.llm.chat import conversation_digests, format_windows
 from trackloom.llm.decontamination import find_contamination
+from trackloom.llm.license_scan import scan_licenses
 from trackloom.llm.ngram_join import near_duplicates
 from trackloom.llm.substring_dedup import dedup_digests
+from trackloom.llm.url_filter import with_verdicts
 
+# The rules of op5.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+# The conversation that op3 adds.
+MARKERS = "</s>[INST] ok [/INST]"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -30,6 +37,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", MARKERS), (-1, 1, "assistant", MARKERS)], turns.schema)
+    return conversation_digests(format_windows(turns.union(more)))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda i: quality.fold(i, 5) == 0)
@@ -38,10 +51,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents"))
 

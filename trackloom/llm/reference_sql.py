@@ -47,4 +47,52 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-SQL = {"op2_decontamination": OP2, "op10_substring_dedup": OP10}
+OP3 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, (length(text) + 3) // 4 + 4 AS tokens FROM turns
+), marked AS (
+  SELECT *, n = 1 AND role = 'system' AS is_system,
+    length(regexp_replace(regexp_replace(role, '<(\\*)(/?s>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g'))
+    + length(regexp_replace(regexp_replace(text, '<(\\*)(/?s>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g')) + 19 AS chars FROM numbered
+), halves AS (
+  SELECT *, greatest(1024 - 256 - max(CASE WHEN is_system THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id), 256) // 2 AS half FROM marked
+), bigs AS (
+  SELECT *, NOT is_system AND tokens > half AS big FROM halves
+), runs AS (
+  SELECT *, 2 * sum(CAST(big AS INT)) OVER (PARTITION BY conv_id ORDER BY n) - CAST(big AS INT) AS run FROM bigs
+), slots AS (
+  SELECT *, CASE WHEN big THEN 0 ELSE floor((sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, run ORDER BY n) - 1) / half) END AS slot FROM runs
+), firsts AS (
+  SELECT *, NOT is_system AND NOT coalesce(lag(run) OVER o = run AND lag(slot) OVER o = slot AND NOT lag(is_system) OVER o, false) AS new FROM slots WINDOW o AS (PARTITION BY conv_id ORDER BY n)
+), windowed AS (
+  SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY conv_id ORDER BY n) AS win FROM firsts
+), copies AS (
+  SELECT *, greatest(max(win) OVER (PARTITION BY conv_id), 1) AS last_win, row_number() OVER e AS from_end, sum(tokens) OVER e AS tail FROM windowed WINDOW e AS (PARTITION BY conv_id, win ORDER BY n DESC)
+), counted AS (
+  SELECT *, CASE WHEN is_system THEN last_win WHEN from_end <= 2 AND tail <= 256 AND win < last_win THEN 2 ELSE 1 END AS times FROM copies
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars * times) + 3 * max(last_win) AS BIGINT) AS formatted_chars
+FROM counted GROUP BY conv_id
+"""
+
+OP5 = r"""
+WITH rules(rule_host, rule_path, verdict) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+), parts AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), best AS (
+  SELECT r, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM parts JOIN rules ON ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)
+"""
+
+SQL = {"op3_chat": OP3, "op5_url_filter": OP5, "op2_decontamination": OP2, "op10_substring_dedup": OP10}

@@ -37,7 +37,7 @@ FLUSH_BYTES = 24 << 20
 def _pack(doc: np.ndarray, crc: np.ndarray, at: np.ndarray, n: np.ndarray, text: bytes) -> bytes:
     head = np.array([len(doc)], dtype=np.int64).tobytes()
     raw = head + np.diff(doc, prepend=0).tobytes() + crc.astype(np.uint32).tobytes() + at.astype(np.int32).tobytes() + n.astype(np.int32).tobytes() + text
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -93,11 +93,11 @@ def _emit(parts: list, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block"])
 
 
-def _spread(window: int, gram: int, buckets: int) -> Callable:
+def _spread(window: int, gram: int, buckets: int, tell_apart: bool) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for rows, texts in sliced(batches):
-            crcs = [zlib.crc32(t) for t in texts]
+            crcs = [zlib.crc32(t) if tell_apart else 0 for t in texts]
             texts = [b" ".join(t.split()) for t in texts]  # bytes.split() knows just these spaces
             buf, starts, ends, bounds = join_words(texts, SPACE_WORDS)
             first, count, least = super_kmers(hash_spans(buf, starts, ends), bounds, window, gram)
@@ -210,22 +210,27 @@ def removed_words(spans: list[bytes] | None, n_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 3, bucket_bytes: int = 8 << 20, max_bytes: int = 48 << 20) -> DataFrame:
-    """key_id, key_crc (CRC-32 of the text), spans (array of packed int32 pairs of word positions) of each text with repeats."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 2, bucket_bytes: int = 6 << 20, max_bytes: int = 16 << 20) -> tuple[DataFrame, bool]:
+    """key_id, key_crc, spans (array of packed int32 pairs of word positions) of each text with repeats; and whether key_crc is in use.
+
+    key_crc tells texts with one id apart (CRC-32); it is 0 where all ids differ.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    tell_apart = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * total // (64 << 20)))
     buckets = max(parts, -(-3 * total // bucket_bytes))  # a word is in about three packed strings
-    blocks = docs.mapInArrow(_spread(window, gram, buckets), "bucket long, block binary")
+    blocks = docs.mapInArrow(_spread(window, gram, buckets, tell_apart), "bucket long, block binary")
     spans = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, max_bytes), "key_id long, key_crc long, spans binary")
-    return spans.groupBy("key_id", "key_crc").agg(F.collect_list("spans").alias("spans"))
+    return spans.groupBy("key_id", "key_crc").agg(F.collect_list("spans").alias("spans")), tell_apart
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one more column, ``_spans``; the documents move once, the spans are a small part of them."""
-    spans = repeated_spans(docs, id_col, text_col, **options)
-    keyed = docs.withColumns({"_key_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_key_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
+    spans, tell_apart = repeated_spans(docs, id_col, text_col, **options)
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) if tell_apart else F.lit(0).cast("long")
+    keyed = docs.withColumns({"_key_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_key_crc": crc})
     joined = keyed.join(spans.select(F.col("key_id").alias("_key_id"), F.col("key_crc").alias("_key_crc"), F.col("spans").alias("_spans")), ["_key_id", "_key_crc"], "left")
     return joined.drop("_key_id", "_key_crc")
 

@@ -70,14 +70,33 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(buf: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each buf[start:end], from prefix sums of byte * MULT**i (mod 2**64)."""
-    n = len(buf)
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + (64 << 10))
-        _powers[:] = [np.cumprod(np.array([1] + [f] * size, dtype=np.uint64), dtype=np.uint64) for f in (MULT, INV)]
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((np.frombuffer(buf, dtype=np.uint8) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers[1][starts])
+    """A 64-bit hash of each buf[start:end], from prefix sums of byte * MULT**i (mod 2**64).
+
+    The spans are in order and don't overlap; they are taken SLICE_BYTES at a time.
+    """
+    out = np.zeros(len(starts), dtype=np.uint64)
+    raw, at = np.frombuffer(buf, dtype=np.uint8), 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + SLICE_BYTES, side="right")))
+        part = raw[low : int(ends[stop - 1])]
+        pw, inverse = _power(len(part))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part + np.uint64(1)) * pw[: len(part)], out=sums[1:])
+        s, e = starts[at:stop] - low, ends[at:stop] - low
+        out[at:stop] = mix((sums[e] - sums[s]) * inverse[s])
+        at = stop
+    return out
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """MULT**i and INV**i for i up to n at least; only those of SLICE_BYTES are kept."""
+    if n > SLICE_BYTES or not _powers:
+        found = [np.cumprod(np.array([1] + [f] * max(n, SLICE_BYTES), dtype=np.uint64), dtype=np.uint64) for f in (MULT, INV)]
+        if n > SLICE_BYTES:
+            return found
+        _powers[:] = found
+    return _powers
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

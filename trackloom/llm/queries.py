@@ -14,6 +14,7 @@ from trackloom.llm.decontamination import find_contamination
 from trackloom.llm.license_scan import scan_licenses
 from trackloom.llm.ngram_join import near_duplicates
 from trackloom.llm.substring_dedup import dedup_digests
+from trackloom.llm.toxicity import score_toxicity
 from trackloom.llm.url_filter import with_verdicts
 
 # The rules of op5.
@@ -63,6 +64,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), lambda i: quality.fold(i, 4) == 2)
+    held_out = F.coalesce(quality.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents"))
 

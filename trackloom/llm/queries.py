@@ -12,6 +12,7 @@ from trackloom.llm import bpe, quality
 from trackloom.llm.chat import conversation_digests, format_windows
 from trackloom.llm.decontamination import find_contamination
 from trackloom.llm.license_scan import scan_licenses
+from trackloom.llm.media import media_columns
 from trackloom.llm.ngram_join import near_duplicates
 from trackloom.llm.substring_dedup import dedup_digests
 from trackloom.llm.toxicity import score_toxicity
@@ -64,6 +65,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"), lambda i: quality.fold(i, 4) == 2)

@@ -1,4 +1,4 @@
-"""Named queries over the driver's tables, with their DuckDB oracles."""
+"""All named queries over the driver's tables, with their DuckDB oracles."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trackloom.plans import registry, series_queries  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.plans import graph_queries, model_queries, registry, repair_queries, series_queries, stat_queries, track_queries  # noqa: F401
+from trackloom.plans import graph_queries, model_queries, motif_queries, registry, repair_queries, series_queries, stat_queries, track_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -27,13 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.textbytes import ranges, sliced
+from trackloom.llm.textbytes import ranges, sliced, worker_model
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
-REMEMBER = 400_000
+REMEMBER = 150_000
 MAX_VOCABULARY_BYTES = 64 << 20
-CELLS = 1 << 20
+CELLS = 1 << 19
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, LONG)
 
 
@@ -121,45 +121,50 @@ class BytePairCodec:
         return self.token_lengths[ids]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        results: list[np.ndarray | None] = [None] * len(pieces)
         sizes = np.array([len(p) for p in pieces])
-        direct = np.array([p in self.ranks for p in pieces])
-        for i in np.flatnonzero(direct):
-            results[i] = np.array([self.ranks[pieces[i]]], dtype=np.int32)
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], dtype=np.int32)
+        direct = np.flatnonzero(whole >= 0)
+        found = [(direct, np.ones(len(direct), dtype=np.int64), whole[direct])]
         low = 0
         for width in WIDTHS:
-            rows = np.flatnonzero(~direct & (sizes > low) & (sizes <= width))
-            for a in range(0, len(rows), max(1, CELLS // width)):
-                part = rows[a : a + max(1, CELLS // width)]
-                for i, found in zip(part.tolist(), self._merge([pieces[i] for i in part], width)):
-                    results[i] = found
+            rows = np.flatnonzero((whole < 0) & (sizes > low) & (sizes <= width))
+            step = max(1, CELLS // width)
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
+                found += [(part[i], n, ids) for i, n, ids in self._merge([pieces[k] for k in part.tolist()], width)]
             low = width
-        for i in np.flatnonzero(~direct & (sizes > LONG)):
-            results[i] = self._merge_long(pieces[i])
-        lengths = np.array([len(r) for r in results], dtype=np.int64)
-        total = int(lengths.sum())
+        for i in np.flatnonzero((whole < 0) & (sizes > LONG)).tolist():
+            ids = self._merge_long(pieces[i])
+            found.append((np.array([i]), np.array([len(ids)]), ids))
+        row, lengths, flat = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(row, kind="stable")
+        starts = (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        total = len(flat)
         while len(self.ids) < self.used + total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + total] = np.concatenate(results)
+        self.ids[self.used : self.used + total] = flat[ranges(starts, lengths)]
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.used += total
 
-    def _merge(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+    def _merge(self, pieces: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of pieces, how many ids each has, the ids) as rows of the matrix get done."""
         sizes = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, width)
         ids = np.where(np.arange(width) < sizes[:, None], self.byte_ids[raw], np.int32(-1))
         ranks = self.pairs.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width - 1)
-        rows, out = np.arange(len(pieces)), [None] * len(pieces)
+        rows = np.arange(len(pieces))
         while len(rows):
             at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), dtype=np.int64)
             least = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), NONE)
             open_ = least != NONE
-            for i, row, found in zip(rows[~open_].tolist(), ids[~open_], (ids[~open_] >= 0).sum(axis=1).tolist()):
-                out[i] = row[:found].copy()
+            if not open_.all():
+                done = ids[~open_]
+                yield rows[~open_], (done >= 0).sum(axis=1), done[done >= 0]
             rows, ids, ranks, at, least = rows[open_], ids[open_], ranks[open_], at[open_], least[open_]
             if not len(rows):
-                break
+                return
             every = np.arange(len(rows))
             columns = np.arange(ids.shape[1] - 1)
             ids = np.take_along_axis(ids, columns + (columns > at[:, None]), axis=1)
@@ -170,7 +175,6 @@ class BytePairCodec:
             ranks[has, at[has] - 1] = self.pairs.get(ids[has, at[has] - 1], ids[has, at[has]])
             has = np.flatnonzero(at < ranks.shape[1])
             ranks[has, at[has]] = self.pairs.get(ids[has, at[has]], ids[has, at[has] + 1])
-        return out
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
         """The same merges for one long piece: least rank first, leftmost among equals."""
@@ -210,16 +214,8 @@ class _Codes(dict):
         return n
 
 
-_codecs: dict[str, BytePairCodec] = {}
-
-
 def _codec(rank_file: bytes, pattern: str) -> BytePairCodec:
-    """One for each Python worker."""
-    key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = BytePairCodec(rank_file, pattern)
-    return _codecs[key]
+    return worker_model(rank_file + pattern.encode(), lambda: BytePairCodec(rank_file, pattern))
 
 
 def _vocabulary(docs: DataFrame, path: str):

@@ -18,7 +18,6 @@ nothing is hit.
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.textbytes import LOWER_WORDS, encode, find_words, sliced
+from trackloom.llm.textbytes import LOWER_WORDS, encode, find_words, sliced, worker_model
 
 OTHER = "\x00"
 RESULT = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
@@ -71,16 +70,8 @@ class WindowAutomaton:
         return spans, items
 
 
-_automata: dict[str, WindowAutomaton] = {}
-
-
 def _automaton(shard: bytes, window: int) -> WindowAutomaton:
-    key = hashlib.sha256(shard + str(window).encode()).hexdigest()
-    if key not in _automata:
-        if len(_automata) >= 4:
-            _automata.clear()
-        _automata[key] = WindowAutomaton(pickle.loads(shard), window)
-    return _automata[key]
+    return worker_model(shard + str(window).encode(), lambda: WindowAutomaton(pickle.loads(shard), window))
 
 
 def _shards(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> list:
@@ -118,35 +109,38 @@ def _covered(hits: bytes, n_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _finish(min_hit_percent: int) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in sliced(batches):
-            n_words, n_hit, spans = [], [], []
-            for text, hits in zip(texts, rows.column("hits").to_pylist()):
-                if not hits:
-                    n_words.append(len(text.translate(LOWER_WORDS).split()))
-                    n_hit.append(0)
-                    spans.append([])
-                    continue
-                starts, ends = find_words(text.translate(LOWER_WORDS))
-                gone = _covered(hits, len(starts))
-                step = np.diff(gone.astype(np.int8), prepend=0, append=0)
-                n_words.append(len(starts))
-                n_hit.append(int(gone.sum()))
-                bounds = zip(starts[np.flatnonzero(step == 1)].tolist(), ends[np.flatnonzero(step == -1) - 1].tolist())
-                spans.append([{"start": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in bounds])
-            words, hit = np.array(n_words, dtype=np.int64), np.array(n_hit, dtype=np.int64)
-            columns = [rows.column("doc_id"), pa.array(words), pa.array(hit), rows.column("items"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array((hit > 0) & (100 * hit >= min_hit_percent * words))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "spans", "contaminated"])
+def _found(shard, window: int, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[bytes], list[list[str]]]]:
+    """(rows, texts, hits, items) with what the last shard finds added; no shard: what there is."""
+    automaton = _automaton(shard.value, window) if shard else None
+    for rows, texts in sliced(batches):
+        hits, items = rows.column("hits").to_pylist(), rows.column("items").to_pylist()
+        if automaton:
+            for k, text in enumerate(texts):
+                spans, found = automaton.scan(text.translate(LOWER_WORDS).split())
+                if spans:
+                    hits[k] += np.array(spans, dtype=np.int32).tobytes()
+                    items[k] = sorted(found.union(items[k]))
+        yield rows, texts, hits, items
 
-    return run
 
+def _result(text: bytes, hits: bytes) -> tuple[int, int, list[dict]]:
+    """(n_words, n_hit, spans in characters)"""
+    if not hits:
+        return len(text.translate(LOWER_WORDS).split()), 0, []
+    starts, ends = find_words(text.translate(LOWER_WORDS))
+    gone = _covered(hits, len(starts))
+    step = np.diff(gone.astype(np.int8), prepend=0, append=0)
+    bounds = zip(starts[np.flatnonzero(step == 1)].tolist(), ends[np.flatnonzero(step == -1) - 1].tolist())
+    return len(starts), int(gone.sum()), [{"start": len(text[:a].decode()), "end": len(text[:b].decode())} for a, b in bounds]
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, max_bytes: int) -> DataFrame:
+
+def _prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, max_bytes: int) -> tuple:
+    """(docs with the finds of all shards but the last, the last shard)"""
     docs = docs.withColumns({"hits": F.lit(b""), "items": F.array().cast("array<string>")})
-    for shard in _shards(benchmark, item_col, item_text_col, max_bytes):
+    shards = _shards(benchmark, item_col, item_text_col, max_bytes)
+    for shard in shards[:-1]:
         docs = docs.mapInArrow(_pass(shard, window), docs.schema)
-    return docs
+    return docs, shards[-1] if shards else None
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_hit_percent: int = 5, max_bytes: int = 4 << 20) -> DataFrame:
@@ -155,7 +149,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     Contaminated: some word is hit, and at least ``min_hit_percent`` of all words.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _scanned(docs, benchmark, item_col, item_text_col, window, max_bytes).mapInArrow(_finish(min_hit_percent), RESULT)
+    docs, last = _prepared(docs, benchmark, item_col, item_text_col, window, max_bytes)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts, hits, items in _found(last, window, batches):
+            n_words, n_hit, spans = zip(*map(_result, texts, hits))
+            words, hit = np.array(n_words, dtype=np.int64), np.array(n_hit, dtype=np.int64)
+            kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            columns = [rows.column("doc_id"), pa.array(words), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, kinds), pa.array((hit > 0) & (100 * hit >= min_hit_percent * words))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "item_ids", "spans", "contaminated"])
+
+    return docs.mapInArrow(run, RESULT)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_hit_percent: int = 5, max_bytes: int = 4 << 20) -> DataFrame:
@@ -163,14 +167,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
+    scanned, last = _prepared(packed, benchmark, item_col, item_text_col, window, max_bytes)
+
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in sliced(batches):
+        for rows, texts, hits, _ in _found(last, window, batches):
             stay = []
-            for text, hits in zip(texts, rows.column("hits").to_pylist()):
-                n = len(text.translate(LOWER_WORDS).split()) if hits else 0
-                hit = int(_covered(hits, n).sum()) if hits else 0
+            for text, own in zip(texts, hits):
+                n = len(text.translate(LOWER_WORDS).split()) if own else 0
+                hit = int(_covered(own, n).sum()) if own else 0
                 stay.append(not (hit and 100 * hit >= min_hit_percent * n))
             yield pa.RecordBatch.from_arrays([rows.column("row")], ["row"]).filter(pa.array(stay))
 
-    scanned = _scanned(packed, benchmark, item_col, item_text_col, window, max_bytes)
     return scanned.mapInArrow(keep, packed.select("row").schema).select("row.*")

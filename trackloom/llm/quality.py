@@ -87,7 +87,7 @@ def example(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             index.append(bucket)
             value.append(np.full(len(bucket), SCALE / len(bucket)))
     i, place = np.unique(np.concatenate(index), return_inverse=True)
-    return i, np.bincount(place, np.concatenate(value))
+    return i.astype(np.int32), np.bincount(place, np.concatenate(value)).astype(np.float32)
 
 
 def _fit(epochs: int) -> Callable:
@@ -113,7 +113,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, held_out,
     return texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id", "text"), "label").coalesce(1)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, held_out, max_train: int = 8000, epochs: int = 4) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label_col: str, held_out, max_train: int = 6000, epochs: int = 4) -> np.ndarray:
     """Weights; ``held_out``: id column -> condition of ids that training leaves out."""
     rows = training_rows(docs, labels, label_col, held_out, max_train).mapInArrow(_fit(epochs), "weights binary").collect()
     return np.frombuffer(rows[0].weights, dtype=np.float32).astype(np.float64) if rows else np.zeros(SIZE)

@@ -6,12 +6,15 @@ slice of its own), so a task's memory depends on neither batch nor table size.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MULT = 0x9E3779B97F4A7C15
 INV = pow(MULT, -1, 1 << 64)
 
@@ -26,6 +29,24 @@ SPACE_WORDS = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 _powers: list[np.ndarray] = []
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: a worker waits for its next one without it."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do this by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_model: list = [b"", None]
+
+
+def worker_model(source: bytes, build: Callable):
+    """What ``build`` makes of ``source``; a Python worker keeps the last one only."""
+    key = hashlib.sha256(source).digest()
+    if _model[0] != key:
+        _model[:] = [b"", None]
+        _model[:] = [key, build()]
+    return _model[1]
+
+
 def encode(texts: Iterable[str | None]) -> list[bytes]:
     """UTF-8 bytes; null is empty."""
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
@@ -34,15 +55,18 @@ def encode(texts: Iterable[str | None]) -> list[bytes]:
 def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """(rows, their texts as bytes) with about ``limit`` bytes of text at a time."""
     for batch in batches:
-        texts = encode(batch.column(text).to_pylist())
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(at, i - at), texts[at:i]
-                at, size = i, 0
-            size += len(t)
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+        rows, texts, at, size = 0, [], 0, 0
+        for low in range(0, batch.num_rows, 64):
+            for t in encode(batch.column(text).slice(low, 64).to_pylist()):
+                if size and size + len(t) > limit:
+                    yield batch.slice(at, rows - at), texts
+                    texts, at, size = [], rows, 0
+                texts.append(t)
+                size += len(t)
+                rows += 1
+        if texts:
+            yield batch.slice(at), texts
+    give_back()
 
 
 def find_words(buf: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,10 @@
 """DuckDB SQL for the results of the ``opN_*`` queries."""
 
+from trackloom.llm.license_scan import TEMPLATES
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LOWER_WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 OP10 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -95,4 +100,63 @@ WITH rules(rule_host, rule_path, verdict) AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)
 """
 
-SQL = {"op3_chat": OP3, "op5_url_filter": OP5, "op2_decontamination": OP2, "op10_substring_dedup": OP10}
+OP6 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {LOWER_WORDS} AS w FROM documents
+), k AS (
+  SELECT doc_id, array_to_string(w, ' ') AS key, w FROM w WHERE len(w) > 0
+), c AS (
+  SELECT key, min(doc_id) AS copy_id, any_value(w) AS w FROM k GROUP BY key
+), s AS (
+  SELECT DISTINCT copy_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT copy_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p FROM c)
+), z AS (
+  SELECT copy_id, count(*) AS n FROM s GROUP BY copy_id
+), met AS (
+  SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.copy_id <> b.copy_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM met JOIN z x ON x.copy_id = a JOIN z y ON y.copy_id = b WHERE 5 * met.n >= 4 * (x.n + y.n - met.n)
+), r AS (
+  SELECT copy_id AS node, copy_id AS low FROM c UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node
+), named AS (
+  SELECT key, copy_id, (SELECT min(low) FROM r WHERE node = copy_id) AS class_id, (SELECT count(*) FROM l WHERE a = copy_id) AS n_links FROM c
+)
+SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(copy_id, w.doc_id) AS copy_id, coalesce(n_links, 0) AS n_links
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN named USING (key)
+"""
+
+POSTINGS = ", ".join(f"('{w}', {k}, '{label}', '{phrase}', {len(line.split())}, {i})" for k, (label, phrase, line) in enumerate(TEMPLATES) for i, w in enumerate(line.split()))
+OP7 = f"""
+WITH postings(word, template, label, phrase, size, place) AS (
+  VALUES {POSTINGS}
+), d AS (
+  SELECT doc_id, {LOWER_WORDS} AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM d
+), base AS (
+  SELECT a.doc_id, a.i, CASE a.word WHEN 'mit' THEN 'mit' WHEN 'apache' THEN 'apache' ELSE 'gpl' END AS label
+  FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.i = a.i + 1 LEFT JOIN p c ON c.doc_id = a.doc_id AND c.i = a.i + 2
+  WHERE (a.word IN ('mit', 'apache') AND b.word = 'license') OR (a.word = 'general' AND b.word = 'public' AND c.word = 'license')
+), places AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY doc_id
+), df AS (
+  SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) AS idf FROM p WHERE word IN (SELECT word FROM postings) GROUP BY word
+), flagged AS (
+  SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d WHERE regexp_matches(array_to_string(w, ' '), 'license|licensed|permission|redistribution|rights|creative')
+), rare AS (
+  SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word DESC) AS k FROM (SELECT DISTINCT doc_id, word FROM p) JOIN flagged USING (doc_id) JOIN df USING (word)) WHERE k <= 8
+), votes AS (
+  SELECT doc_id, template, label, phrase, size, i - place AS shift, count(DISTINCT place) AS met
+  FROM p JOIN rare USING (doc_id, word) JOIN postings USING (word) GROUP BY ALL
+), best AS (
+  SELECT doc_id, template, label, phrase, size, max(met) AS met FROM votes WHERE met >= 0.7 * least(size, 8) GROUP BY ALL
+), found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, least(max(met / least(size, 8)), 1.0) AS score FROM best JOIN flagged USING (doc_id) WHERE contains(line, ' ' || phrase || ' ') GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(places.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(places.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END AS score
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+SQL = {"op6_ngram_join": OP6, "op7_license_scan": OP7, "op3_chat": OP3, "op5_url_filter": OP5, "op2_decontamination": OP2, "op10_substring_dedup": OP10}

@@ -6,8 +6,11 @@ windows with one minimiser travel as a single packed string to the bucket of
 that minimiser, where the windows are sorted, compared word for word and
 counted. All copies of a window meet in one bucket, so the result is exact.
 
-Packed strings of a task that go to the same bucket share one zstd block, so
-thousands of copies of a passage take little more room than one. A bucket that
+Copies meet before the shuffle: of equal packed strings that a task has at hand
+only those of the smallest document travel, since all their windows are repeats
+in the others; a passage that a third of all documents share thus sends one
+string a flush, not one a document. What goes to the same bucket shares one zstd
+block. A bucket that
 is larger than ``max_bytes`` is worked off in rounds, each taking the windows
 of one residue of their hash.
 
@@ -24,10 +27,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.textbytes import SPACE_WORDS, find_words, hash_spans, join_words, mix, ngram_hashes, ranges, sliced
+from trackloom.llm.textbytes import SPACE_WORDS, find_words, give_back, hash_spans, join_words, mix, ngram_hashes, ranges, sliced
 
 NO_ID = 2**63 - 1
 MAX_WINDOWS = 256
@@ -76,21 +80,62 @@ def super_kmers(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int)
     return starts[first], count + window - 1, least[first]
 
 
-def _emit(parts: list, buckets: int) -> pa.RecordBatch:
-    """parts: (bucket, doc, crc, position, words, start, end, buffer) per slice."""
-    blocks: dict[int, list] = {}
-    for bucket, doc, crc, at, n, start, end, buf in parts:
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
-        s, e = start[order].tolist(), end[order].tolist()
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            i = order[a:b]
-            blocks.setdefault(int(bucket[i[0]]), []).append((doc[i], crc[i], at[i], n[i], b" ".join([buf[x:y] for x, y in zip(s[a:b], e[a:b])])))
-    rows = []
-    for found in blocks.values():
-        doc, crc, at, n = (np.concatenate(x) for x in list(zip(*found))[:4])
-        rows.append(_pack(doc, crc, at, n, b" ".join(x[4] for x in found)))
-    return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "block"])
+class _Numbers(dict):
+    """packed string -> number, in order of appearance"""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+COLUMNS = ["bucket", "block", "key_id", "key_crc", "spans"]
+
+
+def _rows(bucket: np.ndarray, block: list | None, doc: np.ndarray | None = None, crc: np.ndarray | None = None, spans: list | None = None) -> pa.RecordBatch:
+    none = [None] * len(bucket)
+    values = (bucket, none if block is None else block, none if doc is None else doc, none if crc is None else crc, none if spans is None else spans)
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], COLUMNS)
+
+
+def _by_text(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(doc, crc, packed pairs of word positions) of each text, from spans in any order; those that meet are joined."""
+    order = np.lexsort((start, crc, doc))
+    doc, crc, start, end = doc[order], crc[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    row = np.ones(len(doc), dtype=bool)
+    row[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
+    text = np.cumsum(row) << 32
+    run = row.copy()
+    run[1:] |= (start + text)[1:] > np.maximum.accumulate(end + text)[:-1]
+    first = np.flatnonzero(run)
+    pairs = np.stack([start[first], np.maximum.reduceat(end, first)], axis=1).astype(np.int32)
+    heads = np.flatnonzero(row[first])
+    cuts = np.append(heads, len(first))
+    return doc[first[heads]], crc[first[heads]].astype(np.int64), [pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _emit(parts: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks for the buckets, and what is known at once: of equal packed strings of a task only those of the smallest document travel, for all their windows in others are repeats.
+
+    parts: (bucket, doc, crc, position, words, packed strings) per slice of texts.
+    """
+    bucket, doc, crc, at, n = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    strings = [s for p in parts for s in p[5]]
+    number = np.array(list(map(_Numbers().__getitem__, strings)), dtype=np.int64)
+    smallest = np.full(int(number.max()) + 1, NO_ID, dtype=np.int64)
+    np.minimum.at(smallest, number, doc)
+    late = np.flatnonzero(doc > smallest[number])
+    if len(late):
+        found = _by_text(doc[late], crc[late], at[late], at[late] + n[late])
+        yield _rows(found[0] % buckets, None, *found)
+    order = np.flatnonzero(doc <= smallest[number])
+    order = order[np.argsort(bucket[order], kind="stable")]
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+    blocks = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        i = order[a:b]
+        blocks.append(_pack(doc[i], crc[i], at[i], n[i], b" ".join([strings[k] for k in i.tolist()])))
+    yield _rows(bucket[order[cuts[:-1]]], blocks)
 
 
 def _spread(window: int, gram: int, buckets: int, tell_apart: bool) -> Callable:
@@ -108,13 +153,13 @@ def _spread(window: int, gram: int, buckets: int, tell_apart: bool) -> Callable:
             crc = np.array(crcs, dtype=np.uint32)[text]
             bucket = (mix(least ^ np.uint64(0x5BD1E995)) % np.uint64(buckets)).astype(np.int64)
             s, e = starts[first], ends[first + count - 1]
-            parts.append((bucket, doc, crc, first - bounds[text], count, s, e, buf))
+            parts.append((bucket, doc, crc, first - bounds[text], count, [buf[x:y] for x, y in zip(s.tolist(), e.tolist())]))
             size += int((e - s).sum())
             if size >= FLUSH_BYTES:
-                yield _emit(parts, buckets)
+                yield from _emit(parts, buckets)
                 parts, size = [], 0
         if parts:
-            yield _emit(parts, buckets)
+            yield from _emit(parts, buckets)
 
     return run
 
@@ -169,25 +214,17 @@ def _count(window: int, max_bytes: int) -> Callable:
         if not found:
             return
         doc, crc, at = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((at, crc, doc))
-        doc, crc, at = doc[order], crc[order], at[order].astype(np.int64)
-        row = np.ones(len(doc), dtype=bool)
-        row[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
-        run = row.copy()
-        run[1:] |= at[1:] > at[:-1] + window
-        first = np.flatnonzero(run)
-        last = np.append(first[1:], len(doc)) - 1
-        pairs = np.stack([at[first], at[last] + window], axis=1).astype(np.int32)
-        heads = np.flatnonzero(row[first])
-        cuts = np.append(heads, len(first))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[first[heads]], pa.int64()), pa.array(crc[first[heads]].astype(np.int64), pa.int64()), pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
-            ["key_id", "key_crc", "spans"],
-        )
+        if not len(doc):
+            return
+        doc, crc, spans = _by_text(doc, crc, at, at + window)
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(spans, pa.binary())], COLUMNS[2:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blocks = None, []
         for batch in batches:
+            known = pa.compute.is_null(batch.column("block"))
+            yield batch.select(COLUMNS[2:]).filter(known)
+            batch = batch.filter(pa.compute.invert(known))
             for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
                 if b != bucket and blocks:
                     yield from ranges_of(blocks)
@@ -196,6 +233,8 @@ def _count(window: int, max_bytes: int) -> Callable:
                 blocks.append(block)
         if blocks:
             yield from ranges_of(blocks)
+        blocks = []
+        give_back()
 
     return run
 
@@ -221,7 +260,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * total // (64 << 20)))
     buckets = max(parts, -(-3 * total // bucket_bytes))  # a word is in about three packed strings
-    blocks = docs.mapInArrow(_spread(window, gram, buckets, tell_apart), "bucket long, block binary")
+    blocks = docs.mapInArrow(_spread(window, gram, buckets, tell_apart), "bucket long, block binary, key_id long, key_crc long, spans binary")
     spans = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, max_bytes), "key_id long, key_crc long, spans binary")
     return spans.groupBy("key_id", "key_crc").agg(F.collect_list("spans").alias("spans")), tell_apart
 

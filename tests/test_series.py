@@ -135,3 +135,13 @@ def test_masks(spark):
     assert row.pixels == 150 and row.thin < 40 and row.ends == 2 and row.branches == 0
     two = spark.createDataFrame([(1, x, 0) for x in (0, 1, 2, 5, 6)], "id long, x int, y int")
     assert sorted(r.pixels for r in images.pixel_components(two, "id").collect()) == [2, 3]
+
+
+def test_exact_quantiles(spark):
+    r = np.random.default_rng(6)
+    x = [float(v) for v in r.normal(0, 3, 501).round(1)]
+    df = spark.createDataFrame([(v,) for v in x] + [(None,)], "v double")
+    got = {q.share: q.value for q in stats.exact_quantiles(df, "v", [0.0, 0.1, 0.5, 0.77, 1.0]).collect()}
+    assert got == {p: pytest.approx(float(np.quantile(x, p))) for p in (0.0, 0.1, 0.5, 0.77, 1.0)}
+    assert stats.exact_quantiles(df.limit(0), "v", [0.5]).count() == 0
+    assert stats.exact_quantiles(spark.createDataFrame([(2.0,)], "v double"), "v", [0.5]).first().value == 2.0

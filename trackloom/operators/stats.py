@@ -22,6 +22,23 @@ def running_totals(df: DataFrame, value: str, columns: list[str], width: float,
     return out.drop("_step", *[f"_b_{c}" for c in columns])
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], steps: int = 1024) -> DataFrame:
+    """share, value of a whole column, linear between neighbours; nulls are left out, and without values there are no rows.
+
+    Equal values are counted first and ranks come from ``running_totals``, so
+    unlike a global percentile no task holds all distinct values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    low, high, n = counts.agg(F.min("v"), F.max("v"), F.sum("c")).first()
+    ranks = [(float(p), end, int(f)) for p in shares for end, f in (("low", (n or 1) * p - p), ("high", -(-((n or 1) * p - p) // 1)))]
+    wanted = F.array(*[F.struct(F.lit(p).alias("share"), F.lit(end).alias("end"), F.lit(k).cast("long").alias("k")) for p, end, k in ranks])
+    run = running_totals(counts, "v", ["c"], ((high or 0) - (low or 0)) / steps or 1.0)
+    at = run.select("v", F.explode(F.filter(wanted, lambda t: (t.k >= F.col("run_c") - F.col("c")) & (t.k < F.col("run_c")))).alias("t"))
+    ends = at.groupBy("t.share").agg(F.max(F.when(F.col("t.end") == "low", F.col("v"))).alias("a"), F.max(F.when(F.col("t.end") == "high", F.col("v"))).alias("b"))
+    part = F.col("share") * ((n or 1) - 1) - F.floor(F.col("share") * ((n or 1) - 1))
+    return ends.select("share", (F.col("a") + part * (F.col("b") - F.col("a"))).alias("value"))
+
+
 def ks_two_sample(df: DataFrame, value: str, is_first: Column, width: float) -> DataFrame:
     """One row: n1, n2 and the largest distance of the two samples' distribution functions. Null values are left out."""
     rows = df.where(F.col(value).isNotNull())
@@ -35,7 +52,7 @@ def ks_all_pairs(df: DataFrame, value: str, sample: str, width: float) -> DataFr
     """one, two, ks for each pair of samples. There are few samples: each value gets a row for every one."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"), F.col(sample).alias("sample")).agg(F.count("*").alias("c"))
     names = counts.select("sample").distinct()
-    grid = counts.select("v").distinct().crossJoin(F.broadcast(names)).join(counts, ["v", "sample"], "left").na.fill(0, ["c"])
+    grid = counts.select("v").distinct().crossJoin(names).join(counts, ["v", "sample"], "left").na.fill(0, ["c"])
     cdf = running_totals(grid, "v", ["c"], width, ["sample"]).join(counts.groupBy("sample").agg(F.sum("c").alias("n")), "sample").select("v", "sample", (F.col("run_c") / F.col("n")).alias("p"))
     a, b = cdf.toDF("v", "one", "p1"), cdf.toDF("v", "two", "p2")
     return a.join(b, "v").where("one < two").groupBy("one", "two").agg(F.max(F.abs(F.col("p1") - F.col("p2"))).alias("ks"))

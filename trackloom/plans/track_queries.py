@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import tracks as op
+from trackloom.operators.stats import exact_quantiles
 from trackloom.plans.registry import query
 from trackloom.sources.tracks import N_SQL, T_SQL, observations, table, tracks
 
@@ -68,7 +69,7 @@ def roi_polygon(spark, sf_dir):
 @query(f"""WITH {N_SQL}, l AS (SELECT median(area_median) AS typical FROM n) SELECT node_id, round((x_max - x_min + y_max - y_min) / typical, 6) AS moved FROM n, l WHERE (x_max - x_min + y_max - y_min) / typical >= 1""")
 def moved_manhattan(spark, sf_dir):
     nodes = tracks(spark, sf_dir)
-    typical = nodes.agg(F.median("area_median").alias("typical"))  # one row
+    typical = exact_quantiles(nodes, "area_median", [0.5]).select(F.col("value").alias("typical"))  # one row
     return op.moved_manhattan(nodes.crossJoin(F.broadcast(typical)), F.col("typical")).where("moved >= 1").select("node_id", r6("moved").alias("moved"))
 
 
@@ -154,7 +155,9 @@ BUCKETS = [(0, 600), (600, 3600), (3600, 7200), (7200, 14400)]
 def report_card(spark, sf_dir):
     life = F.col("tN") - F.col("t0")
     counts = [F.count_if((life >= a) & (life < b)).alias(f"from_{a}") for a, b in BUCKETS]
-    return tracks(spark, sf_dir).agg(F.count("*").alias("nodes"), r6(F.avg(life)).alias("duration_mean"), F.median(life).alias("duration_med"), r6(F.stddev_pop(life)).alias("duration_std"), *counts, F.count_if(life >= 14400).alias("from_14400"))
+    lives = tracks(spark, sf_dir).withColumn("life", life)
+    median = exact_quantiles(lives, "life", [0.5]).select(F.col("value").alias("duration_med"))  # one row
+    return lives.crossJoin(F.broadcast(median)).groupBy("duration_med").agg(F.count("*").alias("nodes"), r6(F.avg(life)).alias("duration_mean"), r6(F.stddev_pop(life)).alias("duration_std"), *counts, F.count_if(life >= 14400).alias("from_14400"))
 
 
 REASON = "CASE WHEN tN >= 2500000 THEN 'timing' WHEN xN >= 60 THEN 'outside-roi' WHEN joins THEN 'join' WHEN splits THEN 'split' WHEN xN < 5 OR yN < 5 THEN 'on_edge' ELSE 'unknown' END AS reason"

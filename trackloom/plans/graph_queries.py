@@ -56,7 +56,7 @@ def lifespan(spark, sf_dir):
     return session_graph(spark, sf_dir)[0].select("node_id", g.lifespan_f().alias("life_f"), g.lifespan_t().alias("life_t"))
 
 
-@query(f"WITH {E_SQL}, {DEGREES} SELECT CAST(least(n_in, 4) AS INT) AS n_in, CAST(least(n_out, 4) AS INT) AS n_out, count(*) AS n FROM d GROUP BY 1, 2")
+@query(f"WITH {E_SQL}, {DEGREES} SELECT least(n_in, 4) AS n_in, least(n_out, 4) AS n_out, count(*) AS n FROM d GROUP BY 1, 2")
 def degree_hist(spark, sf_dir):
     return g.degree_histogram(*session_graph(spark, sf_dir))
 

@@ -151,7 +151,7 @@ def markov_measures(spark, sf_dir):
     return out.select("bid", "frame", "reversal", *[r6(c).alias(c) for c in ("speed", "acceleration", "turn")])
 
 
-@query(f"WITH {T_SQL} SELECT bid, round(regr_slope(x, time / 1e5), 5) + 0.0 AS slope, round(regr_intercept(x, time / 1e5), 5) + 0.0 AS intercept, round(regr_r2(x, time / 1e5), 6) + 0.0 AS r2, regr_count(x, time / 1e5) AS n FROM t GROUP BY bid")
+@query(f"WITH {T_SQL} SELECT bid, round(regr_slope(x, time / 1e5), 5) + 0.0 AS slope, round(regr_intercept(x, time / 1e5), 5) + 0.0 AS intercept, round(regr_r2(x, time / 1e5), 6) + 0.0 AS r2, CAST(regr_count(x, time / 1e5) AS BIGINT) AS n FROM t GROUP BY bid")
 def regr_lines(spark, sf_dir):
     rows = observations(spark, sf_dir).withColumn("day", F.col("time") / 1e5)
     out = stats.regression_lines(rows, "bid", "x", "day")

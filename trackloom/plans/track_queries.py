@@ -43,7 +43,7 @@ def basic_properties(spark, sf_dir):
     return out.select("bid", "area_median", *[r6(c).alias(c) for c in ("diagonal", "path", "end_to_end")], "duration")
 
 
-@query(f"""WITH {N_SQL} SELECT count(*) AS tracks, sum(n) AS rows_in, round(avg(tN - t0), 6) AS mean_life, max(tN - t0) AS longest, round(avg((x_max - x_min) + (y_max - y_min)), 6) AS mean_extent,
+@query(f"""WITH {N_SQL} SELECT count(*) AS tracks, CAST(sum(n) AS BIGINT) AS rows_in, round(avg(tN - t0), 6) AS mean_life, max(tN - t0) AS longest, round(avg((x_max - x_min) + (y_max - y_min)), 6) AS mean_extent,
   count(*) FILTER ((x_max - x_min) + (y_max - y_min) >= 10) AS moving FROM n""")
 def cleanup_report(spark, sf_dir):
     """The flagship: observations to tracks to a report on their lives and movement."""

@@ -26,7 +26,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     time = F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col("ts")) / 1e6
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("bid"), time.alias("time"), F.col("value").alias("x"), k.alias("y"), (k + 1).alias("area"), F.col("event_type").alias("kind"), "event_id", "ts")
-    return rows.withColumn("frame", F.row_number().over(Window.partitionBy("bid").orderBy("ts", "event_id"))).select("bid", "frame", "time", "x", "y", "area", "kind")
+    return rows.withColumn("frame", F.row_number().over(Window.partitionBy("bid").orderBy("ts", "event_id")).cast("long")).select("bid", "frame", "time", "x", "y", "area", "kind")
 
 
 def with_segments(df: DataFrame, gap: float, key: str = "bid", time: str = "time", order: str = "frame") -> DataFrame:
@@ -67,7 +67,7 @@ T_SQL = """t AS (
     CAST(json_extract(props, '$.k') AS DOUBLE) + 1 AS area, event_type AS kind FROM events
 )"""
 S_SQL = T_SQL + """, s AS (
-  SELECT *, sum(new) OVER (PARTITION BY bid ORDER BY frame) AS segment
+  SELECT *, CAST(sum(new) OVER (PARTITION BY bid ORDER BY frame) AS BIGINT) AS segment
   FROM (SELECT *, CAST(coalesce(time - lag(time) OVER (PARTITION BY bid ORDER BY frame) >= 14400, false) AS BIGINT) AS new FROM t)
 )"""
 N_SQL = S_SQL + """, n AS (

@@ -174,6 +174,20 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_with_several_notices(spark):
+    line = {label: text for label, _, text in license_scan.TEMPLATES}
+    bsd, isc, mpl = line["bsd"], line["isc"], line["mpl"]
+    inserted = bsd.replace("with or", "of works with or").replace("are permitted", "are hereby permitted").replace("following", "two following")
+    rows = [
+        (50, f"{bsd} {mpl}"), (51, f"{isc}. {mpl}."), (52, f"{bsd}\n{isc}"), (53, f"{bsd} {line['cc-by']}"), (54, f"{line['cc-by-nc']} {bsd}"), (55, f"Copyright. All rights reserved.\n\n{bsd}"),
+        (56, f"{inserted} {LONG} {isc} {LONG} {mpl}"), (57, f"{isc} {bsd[:48]} is a phrase without its notice"), (58, " ".join([bsd, *line.values()])), (59, f"subject to the mozilla public license {mpl[:30]}"), (60, f"{mpl[20:]} {bsd}"),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, rows)).collect()}
+    assert [got[i].labels for i in range(50, 57)] == ["bsd,mpl", "isc,mpl", "bsd,isc", "bsd,cc-by", "bsd,cc-by-nc", "all-rights-reserved,bsd", "bsd,isc,mpl"]
+    assert got[57].labels == "isc" and got[58].labels == ",".join(sorted(line)) and got[59].labels == "" and got[60].labels == "bsd,mpl"
+    assert all(0.7 <= got[i].score <= 1 for i in (50, 51, 52, 53, 54, 55, 56, 57, 60)) and len(got) == len(rows)
+
+
 def test_media(spark, tmp_path):
     got = media.media_columns(docs(spark, ROWS), rangeBytes=20_000).collect()
     want = []

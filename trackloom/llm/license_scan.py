@@ -5,10 +5,18 @@ and positions there. Of the licence words that a file has, the
 ``rare_words`` with the highest inverse document frequency (counted over all
 documents) are looked up; hits are intersected by relative position (place in
 the file less place in the template); an alignment counts when at least
-``least_share`` of the template's words stand at their places or the words just
-beside, and the template's mandatory key phrase is in the file. A template's
-label then joins those of the base phrases, which are found wherever their
-words stand consecutively.
+``least_share`` of the template's words, or of ``rare_words`` if it has more,
+stand at their places, and the template's mandatory key phrase is in the file.
+Since a second notice takes places among the rare words, each place of a key
+phrase in a file is also checked against all words of its template, outwards
+from the phrase: a word counts where it stands at most ``DRIFT`` words nearer or
+farther than the counted word before it would have it, so words may be inserted
+or left out; ``least_share`` of all the template's words must count. A
+template's label then joins those of the base phrases, which are found wherever
+their words stand consecutively.
+
+The score is the share of the rare words in place where these find a notice,
+and otherwise the share of the template's words that count.
 
 Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Nulls and edge cases: a
 null text is empty: no words, no labels, score 0; a null id is kept; repeated
@@ -25,6 +33,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.url_filter import LOWER, UPPER
 
 NO_ID = 2**63 - 1
+DRIFT = 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Base phrases with their labels.
@@ -77,6 +86,45 @@ def _index(spark, frequencies: DataFrame) -> DataFrame:
     return postings.join(frequencies, "word", "left").withColumn("idf", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("df", F.lit(0)) + 1))).drop("df", "n")
 
 
+def _templates(spark) -> DataFrame:
+    """label, size, phrase, its words, and the numbered words before it (outwards) and after it."""
+    rows = []
+    for label, phrase, line in TEMPLATES:
+        parts, words = phrase.split(), line.split()
+        i = next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)
+        rows.append((label, len(words), phrase, parts, list(enumerate(words[:i][::-1])), list(enumerate(words[i + len(parts) :]))))
+    side = "array<struct<i:int,word:string>>"
+    return spark.createDataFrame(rows, f"label string, size int, phrase string, parts array<string>, before {side}, after {side}")
+
+
+def _met(side: Column, near: Column) -> Column:
+    """How many of a template's words on one side of its key phrase ``near`` (the file's words on that side, outwards) has in order.
+
+    Folds over the template's words; the state is the best count for each offset, from -size to size.
+    """
+    reach = F.size(side)
+    offsets = F.sequence(F.lit(0), 2 * reach)
+    start = F.transform(offsets, lambda k: F.when(k == reach, 0))
+    before = lambda state, k: F.greatest(*[F.get(state, k + d) for d in range(-DRIFT, DRIFT + 1)])
+    step = lambda state, x: F.transform(offsets, lambda k: F.greatest(F.get(state, k), F.when(F.get(near, x.i + k - reach) == x.word, before(state, k) + 1)))
+    return F.array_max(F.aggregate(side, start, step))
+
+
+def notices(lined: DataFrame, least_share: float) -> DataFrame:
+    """doc_id, text_hash, labels, score from the places of key phrases, checked against all words of their templates."""
+    line = F.concat(F.lit(" "), F.col("line"), F.lit(" "))
+    some = lined.join(F.broadcast(_templates(lined.sparkSession)), F.contains(line, F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))  # fixed templates
+    some = some.withColumn("words", F.split("line", " ")).drop("line")
+    n, parts = F.size("parts"), F.col("parts")
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.get("words", i) == F.get(parts, F.lit(0))) & (F.slice("words", i + 1, n) == parts))
+    some = some.withColumn("at", F.explode(starts))
+    low = F.greatest(F.col("at") - 2 * F.size("before"), F.lit(0))
+    some = some.withColumns({"left": F.reverse(F.slice("words", low + 1, F.col("at") - low)), "right": F.slice("words", F.col("at") + n + 1, 2 * F.size("after"))})
+    met = n + _met(F.col("before"), F.col("left")) + _met(F.col("after"), F.col("right"))
+    found = some.select("doc_id", "text_hash", "label", (met / F.col("size")).alias("share")).where(F.col("share") >= least_share)
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("labels"), F.max("share").alias("score"))
+
+
 def matches(docs: DataFrame, rare_words: int, least_share: float) -> DataFrame:
     """doc_id, text_hash, labels, score of each text with a licence notice."""
     flagged = docs.where(F.col("text").rlike(f"(?i){ANCHORS}")).distinct()  # of repeated rows one
@@ -95,7 +143,9 @@ def matches(docs: DataFrame, rare_words: int, least_share: float) -> DataFrame:
     best = aligned.groupBy("doc_id", "text_hash", "template", "label", "phrase", "size").agg(F.max("met").alias("met"))
     best = best.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("label", "phrase", (F.col("met") / F.least(F.col("size"), F.lit(rare_words))).alias("share"))).alias("found"))
     verified = lined.join(best, ["doc_id", "text_hash"]).select("doc_id", "text_hash", F.filter("found", lambda f: F.contains(F.concat(F.lit(" "), "line", F.lit(" ")), F.concat(F.lit(" "), f.phrase, F.lit(" ")))).alias("found"))
-    return verified.where(F.size("found") > 0).select("doc_id", "text_hash", F.col("found.label").alias("labels"), F.least(F.array_max("found.share"), F.lit(1.0)).alias("score"))
+    by_rare = verified.where(F.size("found") > 0).select("doc_id", "text_hash", F.col("found.label").alias("labels"), F.least(F.array_max("found.share"), F.lit(1.0)).alias("score"))
+    both = by_rare.withColumn("whole", F.lit(None).cast("double")).unionByName(notices(lined, least_share).withColumnRenamed("score", "whole"), allowMissingColumns=True)
+    return both.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("labels")).alias("labels"), F.coalesce(F.max("score"), F.max("whole")).alias("score"))
 
 
 def _phrase_places(words: Column, phrase: str) -> Column:

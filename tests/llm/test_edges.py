@@ -259,3 +259,22 @@ def test_toxicity(spark):
     assert min(got[i] for i in (1000, 1001, 1005, 1006)) > 0.3 > max(got[i] for i in (1002, 1003, 1004))
     assert all(r.score == 0.5 for r in toxicity.score_toxicity(d, labels.limit(0), held).collect())
     assert toxicity.score_toxicity(d.limit(0), labels, held).count() == 0
+
+
+def test_long_disguises_are_decoded(spark):
+    plain = "the old river runs under a stone bridge and many people walk along its green banks in summer when light stays late over quiet houses near market square".split()
+    r, rows = random.Random(6), []
+    for i in range(300):
+        w = [r.choice(plain) for _ in range(60)]
+        if i % 6 == 0:
+            w[r.randrange(60)] = r.choice(["scoundrel", "villain"])
+        rows.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id long, toxic int")
+    clean = " ".join(plain[:24])
+    spaced, insult = " ".join(clean.replace(" ", "")), " ".join((" ".join(plain[:20]) + " villain " + " ".join(plain[20:24])).replace(" ", ""))
+    leet = "/".join(["br1dg3", "st0n3", "r1v3r", "p30pl3", "sc0undr3l", "m4rk3t", "squ4r3"])
+    codes = " ".join(hashlib.sha256(bytes([k])).hexdigest() for k in range(5))
+    assert len(insult) > 200 and len(spaced) > 190
+    extra = [(1000, insult), (1001, leet), (1002, " ".join(["a b c"] * 30 + ["v i l l a i n"])), (1003, spaced), (1004, leet.replace("sc0undr3l", "br1dg3")), (1005, codes)]
+    got = {x.doc_id: x.score for x in toxicity.score_toxicity(docs(spark, rows + extra), labels, lambda i: i < 0).collect()}
+    assert min(got[i] for i in (1000, 1001, 1002)) > 0.3 > max(got[i] for i in (1003, 1004, 1005))

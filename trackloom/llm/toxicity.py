@@ -13,7 +13,8 @@ alphabet bounds the table (``LETTERS`` ** 4 numbers). Training takes at most
 
 Nulls and edge cases: a null or empty text has only the intercept; null labels
 and labels without document are left out; without labels every score is 0.5;
-words of more than ``LONGEST`` characters, or ``MOST_SIGNS`` signs, stay as they are; repeated rows get
+disguised words and spaced passages are decoded whatever their length, codes and
+hashes too (their letters just make no word that was learnt); repeated rows get
 equal scores; an empty table gives an empty result.
 """
 
@@ -33,9 +34,8 @@ from trackloom.llm.textbytes import find_words, hash_spans, mix, sliced, worker_
 BITS = 20
 SIZE = 1 << BITS
 BIAS = 0
-LONGEST, MOST_SIGNS = 64, 12
 NOISE, LEAST_ROWS, LEAST_PART, LEAST_SHARE, KEEP = 2.5, 3, 0.03, 0.5, 0.75
-REMEMBER = 200_000
+REMEMBER, REMEMBER_BYTES = 200_000, 64  # decoded words, and the longest of them
 
 # Which letters a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
@@ -101,8 +101,8 @@ class CharacterModel:
         out: list[int] = []
         while trail:
             trail, symbols = trail
-            out[:0] = symbols
-        return out[:-1]
+            out += symbols[::-1]
+        return out[:0:-1]
 
 
 def lattice(word: str) -> tuple[list[list[tuple[tuple[int, ...], float]]], list[str]]:
@@ -146,14 +146,15 @@ class Restorer:
                 self.known.clear()
             text = raw.decode("utf-8", "replace").lower()
             body = text.rstrip(" .,;:!?|\"')")
-            if len(body) > LONGEST or len(body) < 2 or sum(c in LEET for c in body) > MOST_SIGNS:
+            if len(body) < 2:
                 found = raw
             else:
                 choices, others = lattice(body.lstrip(" \"'("))
                 others = iter(others)
                 symbols = self.model.decode(choices)
                 found = "".join(" " if s == SPACE else next(others, "") if s == OTHER else chr(96 + s) for s in symbols).encode()
-            self.known[raw] = found
+            if len(raw) <= REMEMBER_BYTES:
+                self.known[raw] = found
         return found
 
     def texts(self, texts: list[bytes]) -> list[bytes]:

@@ -67,6 +67,20 @@ def test_hash_collisions_are_told_apart(spark, monkeypatch):
     assert sorted((int(d), int(k)) for doc, _, at in found for d, k in zip(doc, at)) == [(3, k) for k in range(9)]
 
 
+def test_texts_of_one_id_with_equal_checksums(spark):
+    base, other = words(13, 60), words(14, 20, 9000)
+    starts = [" ".join(w) + " " for w in (base, other)]
+    checksums = [{zlib.crc32(f"{start}{(end := hashlib.md5(f'{i}{k}'.encode()).hexdigest())}".encode()): end for k in range(200_000)} for i, start in enumerate(starts)]
+    crc = min(checksums[0].keys() & checksums[1].keys())
+    repeat, alone = (f"{start}{c[crc]}" for start, c in zip(starts, checksums))
+    assert zlib.crc32(repeat.encode()) == zlib.crc32(alone.encode())
+    rows = [(1, " ".join(base)), (None, repeat), (None, alone), (None, None)]
+    got = substring_dedup.dedup_digests(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_dedup(rows)
+    zeros = np.array([b"a" * 31 + b"\0", b"b" * 32], dtype="S32")
+    assert substring_dedup._by_text(np.array([1, 2]), zeros, np.array([0, 0]), np.array([3, 3]))[1] == [b"a" * 31 + b"\0", b"b" * 32]
+
+
 def test_near_duplicates(spark):
     base, other = words(7, 200), words(8, 200)
     edited = base[:]

@@ -15,14 +15,14 @@ is larger than ``max_bytes`` is worked off in rounds, each taking the windows
 of one residue of their hash.
 
 Nulls and edge cases: a null or empty text has no words; a null id counts as
-larger than any other; rows with equal ids never remove each other's words;
+larger than any other; rows with equal ids never remove each other's words, and
+are told apart by the SHA-256 of their texts;
 repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,17 +38,19 @@ MAX_WINDOWS = 256
 FLUSH_BYTES = 24 << 20
 
 
-def _pack(doc: np.ndarray, crc: np.ndarray, at: np.ndarray, n: np.ndarray, text: bytes) -> bytes:
+def _pack(doc: np.ndarray, sha: np.ndarray, at: np.ndarray, n: np.ndarray, text: bytes) -> bytes:
     head = np.array([len(doc)], dtype=np.int64).tobytes()
-    raw = head + np.diff(doc, prepend=0).tobytes() + crc.astype(np.uint32).tobytes() + at.astype(np.int32).tobytes() + n.astype(np.int32).tobytes() + text
+    sha = sha.astype("S")
+    head += np.array([sha.itemsize], dtype=np.int64).tobytes()
+    raw = head + np.diff(doc, prepend=0).tobytes() + sha.tobytes() + at.astype(np.int32).tobytes() + n.astype(np.int32).tobytes() + text
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = pa.decompress(block[8:], decompressed_size=int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
-    k = int(np.frombuffer(raw, np.int64, 1)[0])
-    at, out = 8, []
-    for kind in (np.int64, np.uint32, np.int32, np.int32):
+    k, wide = np.frombuffer(raw, np.int64, 2).tolist()
+    at, out = 16, []
+    for kind in (np.int64, f"S{wide}", np.int32, np.int32):
         out.append(np.frombuffer(raw, kind, k, at))
         at += k * np.dtype(kind).itemsize
     return np.cumsum(out[0]), *out[1:], raw[at:]
@@ -88,22 +90,27 @@ class _Numbers(dict):
         return n
 
 
-COLUMNS = ["bucket", "block", "key_id", "key_crc", "spans"]
+COLUMNS = ["bucket", "block", "key_id", "key_sha", "spans"]
 
 
-def _rows(bucket: np.ndarray, block: list | None, doc: np.ndarray | None = None, crc: np.ndarray | None = None, spans: list | None = None) -> pa.RecordBatch:
+def _rows(bucket: np.ndarray, block: list | None, doc: np.ndarray | None = None, sha: np.ndarray | None = None, spans: list | None = None) -> pa.RecordBatch:
     none = [None] * len(bucket)
-    values = (bucket, none if block is None else block, none if doc is None else doc, none if crc is None else crc, none if spans is None else spans)
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    values = (bucket, none if block is None else block, none if doc is None else doc, none if sha is None else sha, none if spans is None else spans)
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], COLUMNS)
 
 
-def _by_text(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(doc, crc, packed pairs of word positions) of each text, from spans in any order; those that meet are joined."""
-    order = np.lexsort((start, crc, doc))
-    doc, crc, start, end = doc[order], crc[order], start[order].astype(np.int64), end[order].astype(np.int64)
+def _whole(sha: bytes) -> bytes:
+    """All 32 bytes of a digest, of which numpy drops the last if they are 0; an empty one stays empty."""
+    return sha and sha.ljust(32, b"\0")
+
+
+def _by_text(doc: np.ndarray, sha: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """(doc, sha, packed pairs of word positions) of each text, from spans in any order; those that meet are joined."""
+    order = np.lexsort((start, sha, doc))
+    doc, sha, start, end = doc[order], sha[order], start[order].astype(np.int64), end[order].astype(np.int64)
     row = np.ones(len(doc), dtype=bool)
-    row[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
+    row[1:] = (doc[1:] != doc[:-1]) | (sha[1:] != sha[:-1])
     text = np.cumsum(row) << 32
     run = row.copy()
     run[1:] |= (start + text)[1:] > np.maximum.accumulate(end + text)[:-1]
@@ -111,22 +118,22 @@ def _by_text(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarra
     pairs = np.stack([start[first], np.maximum.reduceat(end, first)], axis=1).astype(np.int32)
     heads = np.flatnonzero(row[first])
     cuts = np.append(heads, len(first))
-    return doc[first[heads]], crc[first[heads]].astype(np.int64), [pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+    return doc[first[heads]], [_whole(x) for x in sha[first[heads]].tolist()], [pairs[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _emit(parts: list, buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks for the buckets, and what is known at once: of equal packed strings of a task only those of the smallest document travel, for all their windows in others are repeats.
 
-    parts: (bucket, doc, crc, position, words, packed strings) per slice of texts.
+    parts: (bucket, doc, sha, position, words, packed strings) per slice of texts.
     """
-    bucket, doc, crc, at, n = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    bucket, doc, sha, at, n = (np.concatenate([p[k] for p in parts]) for k in range(5))
     strings = [s for p in parts for s in p[5]]
     number = np.array(list(map(_Numbers().__getitem__, strings)), dtype=np.int64)
     smallest = np.full(int(number.max()) + 1, NO_ID, dtype=np.int64)
     np.minimum.at(smallest, number, doc)
     late = np.flatnonzero(doc > smallest[number])
     if len(late):
-        found = _by_text(doc[late], crc[late], at[late], at[late] + n[late])
+        found = _by_text(doc[late], sha[late], at[late], at[late] + n[late])
         yield _rows(found[0] % buckets, None, *found)
     order = np.flatnonzero(doc <= smallest[number])
     order = order[np.argsort(bucket[order], kind="stable")]
@@ -134,7 +141,7 @@ def _emit(parts: list, buckets: int) -> Iterator[pa.RecordBatch]:
     blocks = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         i = order[a:b]
-        blocks.append(_pack(doc[i], crc[i], at[i], n[i], b" ".join([strings[k] for k in i.tolist()])))
+        blocks.append(_pack(doc[i], sha[i], at[i], n[i], b" ".join([strings[k] for k in i.tolist()])))
     yield _rows(bucket[order[cuts[:-1]]], blocks)
 
 
@@ -142,7 +149,7 @@ def _spread(window: int, gram: int, buckets: int, tell_apart: bool) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for rows, texts in sliced(batches):
-            crcs = [zlib.crc32(t) if tell_apart else 0 for t in texts]
+            shas = np.array([hashlib.sha256(t).digest() if tell_apart else b"" for t in texts], dtype="S32" if tell_apart else "S1")
             texts = [b" ".join(t.split()) for t in texts]  # bytes.split() knows just these spaces
             buf, starts, ends, bounds = join_words(texts, SPACE_WORDS)
             first, count, least = super_kmers(hash_spans(buf, starts, ends), bounds, window, gram)
@@ -150,10 +157,10 @@ def _spread(window: int, gram: int, buckets: int, tell_apart: bool) -> Callable:
                 continue
             text = np.searchsorted(bounds, first, side="right") - 1
             doc = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[text]
-            crc = np.array(crcs, dtype=np.uint32)[text]
+            sha = shas[text]
             bucket = (mix(least ^ np.uint64(0x5BD1E995)) % np.uint64(buckets)).astype(np.int64)
             s, e = starts[first], ends[first + count - 1]
-            parts.append((bucket, doc, crc, first - bounds[text], count, [buf[x:y] for x, y in zip(s.tolist(), e.tolist())]))
+            parts.append((bucket, doc, sha, first - bounds[text], count, [buf[x:y] for x, y in zip(s.tolist(), e.tolist())]))
             size += int((e - s).sum())
             if size >= FLUSH_BYTES:
                 yield from _emit(parts, buckets)
@@ -165,13 +172,13 @@ def _spread(window: int, gram: int, buckets: int, tell_apart: bool) -> Callable:
 
 
 def repeated_windows(blocks: list[bytes], window: int, max_bytes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, crc, word position) of each window of a bucket whose words a smaller doc_id has too."""
+    """(doc_id, sha, word position) of each window of a bucket whose words a smaller doc_id has too."""
     rounds = max(1, -(-sum(int.from_bytes(b[:8], "little") for b in blocks) // max_bytes))
     found = []
     for residue in range(rounds):
-        keep, texts = [], []
+        keep, texts, shas, before = [], [], [], 0
         for block in blocks:
-            doc, crc, at, n, text = _unpack(block)
+            doc, sha, at, n, text = _unpack(block)
             starts, ends = find_words(text)
             hashes = ngram_hashes(hash_spans(text, starts, ends), window)
             bounds = np.concatenate([[0], np.cumsum(n)])
@@ -181,9 +188,11 @@ def repeated_windows(blocks: list[bytes], window: int, max_bytes: int) -> list[t
             if rounds > 1:
                 mine = key % np.uint64(rounds) == residue
                 own, first, key = own[mine], first[mine], key[mine]
-            keep.append((key, doc[own], crc[own], at[own] + (first - bounds[own]), starts[first], ends[first + window - 1], np.full(len(key), len(texts))))
+            keep.append((key, doc[own], own + before, at[own] + (first - bounds[own]), starts[first], ends[first + window - 1], np.full(len(key), len(texts))))
             texts.append(text)
-        key, doc, crc, at, s, e, where = (np.concatenate(x) for x in zip(*keep))
+            shas.append(sha)
+            before += len(sha)
+        key, doc, string, at, s, e, where = (np.concatenate(x) for x in zip(*keep))
         order = np.lexsort((doc, key))
         key = key[order]
         same = np.zeros(len(key) + 1, dtype=bool)
@@ -204,7 +213,7 @@ def repeated_windows(blocks: list[bytes], window: int, max_bytes: int) -> list[t
         new = np.concatenate([[True], differs | hashed[1:]])
         smallest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]  # sorted by doc within equal words
         late = order[doc[order] > smallest]
-        found.append((doc[late], crc[late], at[late]))
+        found.append((doc[late], np.concatenate(shas)[string[late]], at[late]))
     return found
 
 
@@ -213,11 +222,11 @@ def _count(window: int, max_bytes: int) -> Callable:
         found = repeated_windows(blocks, window, max_bytes)
         if not found:
             return
-        doc, crc, at = (np.concatenate(x) for x in zip(*found))
+        doc, sha, at = (np.concatenate(x) for x in zip(*found))
         if not len(doc):
             return
-        doc, crc, spans = _by_text(doc, crc, at, at + window)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(crc, pa.int64()), pa.array(spans, pa.binary())], COLUMNS[2:])
+        doc, sha, spans = _by_text(doc, sha, at, at + window)
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(sha, pa.binary()), pa.array(spans, pa.binary())], COLUMNS[2:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blocks = None, []
@@ -250,9 +259,9 @@ def removed_words(spans: list[bytes] | None, n_words: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 2, bucket_bytes: int = 6 << 20, max_bytes: int = 16 << 20) -> tuple[DataFrame, bool]:
-    """key_id, key_crc, spans (array of packed int32 pairs of word positions) of each text with repeats; and whether key_crc is in use.
+    """key_id, key_sha, spans (array of packed int32 pairs of word positions) of each text with repeats; and whether key_sha is in use.
 
-    key_crc tells texts with one id apart (CRC-32); it is 0 where all ids differ.
+    key_sha tells texts with one id apart (SHA-256 of the text); it is empty where all ids differ.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
@@ -260,18 +269,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * total // (64 << 20)))
     buckets = max(parts, -(-3 * total // bucket_bytes))  # a word is in about three packed strings
-    blocks = docs.mapInArrow(_spread(window, gram, buckets, tell_apart), "bucket long, block binary, key_id long, key_crc long, spans binary")
-    spans = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, max_bytes), "key_id long, key_crc long, spans binary")
-    return spans.groupBy("key_id", "key_crc").agg(F.collect_list("spans").alias("spans")), tell_apart
+    blocks = docs.mapInArrow(_spread(window, gram, buckets, tell_apart), "bucket long, block binary, key_id long, key_sha binary, spans binary")
+    spans = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, max_bytes), "key_id long, key_sha binary, spans binary")
+    return spans.groupBy("key_id", "key_sha").agg(F.collect_list("spans").alias("spans")), tell_apart
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one more column, ``_spans``; the documents move once, the spans are a small part of them."""
     spans, tell_apart = repeated_spans(docs, id_col, text_col, **options)
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) if tell_apart else F.lit(0).cast("long")
-    keyed = docs.withColumns({"_key_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_key_crc": crc})
-    joined = keyed.join(spans.select(F.col("key_id").alias("_key_id"), F.col("key_crc").alias("_key_crc"), F.col("spans").alias("_spans")), ["_key_id", "_key_crc"], "left")
-    return joined.drop("_key_id", "_key_crc")
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)) if tell_apart else F.lit(bytearray())
+    keyed = docs.withColumns({"_key_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_key_sha": sha})
+    joined = keyed.join(spans.select(F.col("key_id").alias("_key_id"), F.col("key_sha").alias("_key_sha"), F.col("spans").alias("_spans")), ["_key_id", "_key_sha"], "left")
+    return joined.drop("_key_id", "_key_sha")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -292,3 +292,15 @@ def test_long_disguises_are_decoded(spark):
     extra = [(1000, insult), (1001, leet), (1002, " ".join(["a b c"] * 30 + ["v i l l a i n"])), (1003, spaced), (1004, leet.replace("sc0undr3l", "br1dg3")), (1005, codes)]
     got = {x.doc_id: x.score for x in toxicity.score_toxicity(docs(spark, rows + extra), labels, lambda i: i < 0).collect()}
     assert min(got[i] for i in (1000, 1001, 1002)) > 0.3 > max(got[i] for i in (1003, 1004, 1005))
+
+
+def test_rare_toxic_words_have_values():
+    r = np.random.default_rng(5)
+    text = lambda *more: np.array([toxicity.BIAS, *sorted({*r.integers(1000, 5000, 20).tolist(), *more})])
+    examples = [(text(7), 1.0) for _ in range(300)] + [(text(8), 1.0) for _ in range(5)] + [(text(9), 0.0) for _ in range(1500)]
+    value = toxicity.feature_values(examples)
+    assert value[7] > 0 and value[8] > 0 and value[9] == 0
+    first = list(range(1, 9))
+    long = [np.array([toxicity.BIAS, *first, *sorted(set(r.integers(1000, 900_000, 60).tolist()))]) for _ in range(4)]
+    kept = toxicity._without_copies([(i, 1.0) for i in [*long, long[0], np.delete(long[1], 30)]])
+    assert [i.tolist() for i, _ in kept] == [i.tolist() for i in long]

@@ -34,7 +34,7 @@ from trackloom.llm.textbytes import find_words, hash_spans, mix, sliced, worker_
 BITS = 20
 SIZE = 1 << BITS
 BIAS = 0
-NOISE, LEAST_ROWS, LEAST_PART, LEAST_SHARE, KEEP = 2.5, 3, 0.03, 0.5, 0.75
+NOISE, LEAST_ROWS, LEAST_SHARE, KEEP = 2.5, 3, 0.5, 0.75
 REMEMBER, REMEMBER_BYTES = 200_000, 64  # decoded words, and the longest of them
 
 # Which letters a sign may stand for.
@@ -245,15 +245,29 @@ def _restorer(counts: bytes) -> Restorer:
     return worker_model(counts, lambda: Restorer(np.frombuffer(counts, dtype=np.int64)))
 
 
+def _without_copies(examples: list[tuple[np.ndarray, float]]) -> list[tuple[np.ndarray, float]]:
+    """Of long texts that share four fifths of their features, one."""
+    kept: list[tuple[np.ndarray, float]] = []
+    like: dict[tuple, list[np.ndarray]] = {}
+    for i, y in examples:
+        if len(i) > 40:
+            # Buckets are hashes in order, so near copies nearly always have the same first ones; so may other texts.
+            others = like.setdefault((tuple(i[1:9].tolist()), y), [])
+            if any(9 * len(np.intersect1d(i, o, assume_unique=True)) >= 4 * (len(i) + len(o)) for o in others):
+                continue
+            others.append(i)
+        kept.append((i, y))
+    return kept
+
+
 def feature_values(examples: list[tuple[np.ndarray, float]]) -> np.ndarray:
     """How far a feature's share of toxic examples is above the share of all, in standard errors past ``NOISE``; 0 for rare features and for those that most examples with them aren't toxic for."""
-    # Buckets are hashes in order, so near copies nearly always have the same first ones: of such texts one counts (short texts all do).
-    examples = list({(tuple(i[1:9].tolist()) if len(i) > 40 else k, y): (i, y) for k, (i, y) in enumerate(examples)}.values())
+    examples = _without_copies(examples)
     n = np.bincount(np.concatenate([i for i, _ in examples]), minlength=SIZE) if examples else np.zeros(SIZE)
     toxic = np.bincount(np.concatenate([i if y > 0.5 else i[:0] for i, y in examples]), minlength=SIZE) if examples else np.zeros(SIZE)
     share = sum(y > 0.5 for _, y in examples) / max(1, len(examples))
     z = (toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
-    out = np.where((n >= max(LEAST_ROWS, LEAST_PART * toxic[BIAS])) & (toxic >= LEAST_SHARE * n), np.clip((z - NOISE) / 3, 0, 3), 0.0)
+    out = np.where((n >= LEAST_ROWS) & (toxic >= LEAST_SHARE * n), np.clip((z - NOISE) / 3, 0, 3), 0.0)
     out[BIAS] = 1.0
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as written to the shared folder: later jobs read it and a lost executor costs nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: later jobs read the columns they need.
+
+    Tables and checkpoints stay until their session's folder is cleared; a
+    result may be read long after the call.
+    """
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

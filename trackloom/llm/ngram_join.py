@@ -2,18 +2,21 @@
 
 Method: MinHash banding. ``choose_bands`` takes the most rows a band for which
 the wanted recall at the threshold is met with ``max_hashes`` hash functions.
-Texts are shuffled on their band hashes; those that meet in some band, directly
-or through others, form a candidate group, whose pairs are verified on the full
-n-gram sets. A group is worked off in pairs of blocks of bounded size, each a
-row group of its own, so a huge group spreads over many tasks; links are counted
-there and only a spanning forest of them leaves a task.
+Texts are shuffled on their band hashes. The smallest text of a band bucket is
+its hub; buckets with one hub are verified together, so texts that share many
+bands travel once or a few times and not once a band, and nothing is compared
+that doesn't meet at a hub. Pairs are verified on the full n-gram sets, each
+pair at the least of its common hubs only. A hub's texts are worked off in pairs
+of blocks of bounded size, each a row group of its own, so a huge bucket spreads
+over many tasks; links are counted there and only a spanning forest of them
+leaves a task.
 
 Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Texts with equal words
 are copies: one of them is verified for all. A text of fewer words than n is one
 n-gram. Nulls and edge cases: a null text, or one without words, has no n-grams
 and links to nothing, each a class of its own; a null id counts as larger than
 any other; repeated rows and rows with one id are classified by their own text;
-an empty table gives an empty result.
+ids keep their type; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from trackloom.llm.textbytes import LOWER_WORDS, hash_spans, join_words, mix, ngram_hashes, ranges, sliced
+from trackloom.llm.textbytes import LOWER_WORDS, encode, give_back, hash_spans, join_words, mix, ngram_hashes, ranges, sliced
 from trackloom.operators.components import connected_components
-from trackloom.plans.lineage import cut
-
-NO_ID = 2**63 - 1
+from trackloom.operators.hotkeys import attach
+from trackloom.plans.lineage import cut, stored
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:
@@ -86,8 +89,8 @@ def _sketch(n: int, bands: int, rows: int) -> Callable:
                 for j, i in enumerate(some.tolist()):
                     keys[i], found[i] = word_key(texts[i]), band_hashes[j]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(np.diff(bounds), pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "key", "n_grams", "bands"],
+                [batch.column("row"), batch.column("text"), pa.array(keys, pa.binary()), pa.array(np.diff(bounds), pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                ["row", "text", "key", "n_grams", "bands"],
             )
 
     return run
@@ -110,8 +113,12 @@ def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return np.rint(out).astype(np.int64)
 
 
-def links_in_block(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
-    """A symmetric matrix: which pairs are similar? side: 0 or 1; with both sides, only pairs across count."""
+def links_in_block(sets: list[np.ndarray], side: np.ndarray, threshold: float, elsewhere: list[np.ndarray]) -> np.ndarray:
+    """A symmetric matrix: which pairs are similar?
+
+    side: 0 or 1; with both sides, only pairs across count. elsewhere: pairs
+    that have a number in common there are left out.
+    """
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
     out = np.zeros((len(sets), len(sets)), dtype=bool)
@@ -120,6 +127,8 @@ def links_in_block(sets: list[np.ndarray], side: np.ndarray, threshold: float) -
     both = _intersections(sets, left, right)
     union = sizes[left][:, None] + sizes[right] - both
     alike = both >= threshold * union - 1e-9
+    if any(len(e) for e in elsewhere):
+        alike &= _intersections(elsewhere, left, right) == 0
     out[np.ix_(left, right)] = alike
     out |= out.T
     np.fill_diagonal(out, False)
@@ -127,18 +136,18 @@ def links_in_block(sets: list[np.ndarray], side: np.ndarray, threshold: float) -
 
 
 def _verify(n: int, threshold: float) -> Callable:
-    def results(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = list({r[0]: r for r in rows}.values())  # a repeated row comes more than once
+    def results(hub: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
         grams, bounds = shingles([r[2] for r in rows], n)
         sets = [np.unique(grams[a:b]) for a, b in zip(bounds, bounds[1:])]
-        linked = links_in_block(sets, np.array([r[1] for r in rows]), threshold)
+        smaller = [np.array([h for h in r[3] if h < hub], dtype=np.int64) for r in rows]
+        linked = links_in_block(sets, np.array([r[1] for r in rows]), threshold, smaller)
         count = linked.sum(axis=1)
         nodes = np.array([r[0] for r in rows], dtype=np.int64)
         root = nodes.copy()
         while True:
-            low = np.minimum(root, np.where(linked, root, NO_ID).min(axis=1))
+            low = np.minimum(root, np.where(linked, root, nodes.max()).min(axis=1))
             if (low == root).all():
                 break
             root = low
@@ -149,68 +158,85 @@ def _verify(n: int, threshold: float) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("part", "i", "j", "node", "block", "text")]
-            for part, i, j, node, block, text in zip(*columns):
-                if group != (part, i, j):
-                    yield from results(rows)
-                    group, rows = (part, i, j), []
-                rows.append((node, int(block != i), text.encode("utf-8", "surrogatepass")))
-        yield from results(rows)
+            columns = [batch.column(c).to_pylist() for c in ("hub", "i", "j", "node", "block", "hubs")]
+            for k, (hub, i, j, node, block, hubs) in enumerate(zip(*columns)):
+                if group != (hub, i, j):
+                    if group:
+                        yield from results(group[0], rows)
+                    group, rows = (hub, i, j), []
+                rows.append((node, int(block != i), encode([batch.column("text")[k].as_py()])[0], hubs))
+        if group:
+            yield from results(group[0], rows)
+        rows = []
+        give_back()
 
     return run
 
 
-def near_duplicates(
+def _classified(
     docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
     n: int = 5,
     threshold: float = 0.8,
     recall: float = 0.999,
     max_hashes: int = 224,
-    block_rows: int = 256,
-    block_grams: int = 200_000,
-) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, text_hash, class_id, copy_id, n_links.
-
-    class_id: the smallest id of the texts that are linked to this one, directly
-    or through others. copy_id: the smallest id of those with the same words.
-    n_links: the number of different texts (by their words) that are similar to
-    this one. text_hash: xxhash64 of the text.
-    """
+    block_rows: int = 1024,
+    block_grams: int = 500_000,
+) -> tuple[DataFrame, DataFrame]:
+    """For ``docs`` (id, text, row): the stored table row_id, id, text_hash, key, row; and for each key copy_id, class_id, n_links, first (the row_id of its class to keep)."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(n, bands, rows), "doc_id long, text_hash long, key binary, n_grams long, bands array<long>")
-    sketch = cut(sketch.withColumn("row_id", F.monotonically_increasing_id()))
-    classes = sketch.where("key is not null").groupBy("key").agg(F.min(F.struct("row_id", "doc_id", "text_hash", "n_grams", "bands")).alias("one"), F.min("doc_id").alias("copy_id"))
-    classes = cut(classes.select("key", "copy_id", "one.*").withColumnRenamed("row_id", "node"))
-
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = banded.join(hubs, "band").where("node != hub").select("node", "hub").distinct()
-    groups = connected_components(met, "node", "hub").select("node", F.col("component").alias("part"))
-    members = cut(classes.drop("bands", "copy_id").join(groups, "node"))
-
-    sizes = members.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum("n_grams") / F.lit(block_grams))).alias("blocks"))
-    placed = members.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    texts = placed.join(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"]).select("part", "node", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    pairs = texts.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
-    found = pairs.repartition(parts, "part", "i", "j").sortWithinPartitions("part", "i", "j").mapInArrow(_verify(n, threshold), "node long, n_links long, root long")
+    packed = docs.select(F.struct("id", F.col("row").alias("row")).alias("row"), "text")
+    sketch = packed.mapInArrow(_sketch(n, bands, rows), StructType([*packed.schema.fields]).add("key", "binary").add("n_grams", "long").add("bands", ArrayType(LongType())))
+    sketch = sketch.select(F.monotonically_increasing_id().alias("row_id"), "row.id", F.xxhash64("text").alias("text_hash"), "key", "n_grams", "bands", "text", "row.row")
+    sketch = stored(sketch, "sketches")
+    one = F.struct(F.isnull("id"), "id", "text_hash", "row_id")  # the row to keep of equal ones: least id, nulls last
+    classes = sketch.where("key is not null").groupBy("key").agg(F.min(one).alias("one"), F.min("id").alias("copy_id"), F.min(F.struct("row_id", "n_grams", "bands")).alias("rep"))
+    classes = cut(classes.select("key", "copy_id", "one", F.col("rep.row_id").alias("node"), "rep.n_grams", "rep.bands"))
+
+    banded = classes.select("node", "n_grams", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = attach(banded, buckets, ["band"], ["node"]).select("hub", "node", "n_grams").distinct()
+    lists = members.groupBy("node").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # one a band at most
+    members = cut(members.join(lists, "node"))
+    sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum("n_grams") / F.lit(block_grams))).alias("blocks"))
+    placed = attach(members, sizes, ["hub"], ["node"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    texts = placed.join(sketch.select(F.col("row_id").alias("node"), "text"), "node").select("hub", "hubs", "node", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    pairs = texts.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "hubs", "text")
+    found = pairs.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_verify(n, threshold), "node long, n_links long, root long")
     found = cut(found)
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     joined = connected_components(found, "node", "root")
 
-    merged = classes.select("key", "node", "copy_id").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = merged.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    named = merged.join(first, "component").select("key", "copy_id", "class_id", "n_links")
-    out = sketch.select("doc_id", "text_hash", "key").join(named, "key", "left")
-    own = F.nullif("doc_id", F.lit(NO_ID))
-    return out.select(own.alias("doc_id"), "text_hash", F.nullif(F.coalesce("class_id", "doc_id"), F.lit(NO_ID)).alias("class_id"), F.nullif(F.coalesce("copy_id", "doc_id"), F.lit(NO_ID)).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    merged = classes.select("key", "node", "copy_id", "one").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = merged.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.min("one").getField("row_id").alias("first"))
+    named = attach(merged, first, ["component"], ["node"]).select("key", "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "first")
+    return sketch, cut(named)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each row of ``docs``: the id column, text_hash, class_id, copy_id, n_links.
+
+    class_id: the smallest id of the texts that are linked to this one, directly
+    or through others. copy_id: the smallest id of those with the same words.
+    n_links: the number of different texts (by their words) that are similar to
+    this one. text_hash: xxhash64 of the text. Options: n, threshold, recall,
+    max_hashes, and block_rows and block_grams, the size of a block.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("row"))
+    sketch, named = _classified(docs, **options)
+    out = attach(sketch.select("row_id", "id", "text_hash", "key"), named, ["key"], ["row_id"], "left")
+    own = F.when(F.col("n_links").isNull(), F.col("id"))  # no words
+    return out.select(F.col("id").alias(id_col), "text_hash", F.coalesce("class_id", own).alias("class_id"), F.coalesce("copy_id", own).alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class: that with the smallest id (of repeated rows, one)."""
-    found = near_duplicates(docs, id_col, text_col, **options).where("doc_id <=> class_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64(text_col)})
-    return keyed.join(found, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    """``docs`` with one row of each class: that with the smallest id, of equal or null ids that with the smallest text hash, of repeated rows one.
+
+    Rows whose text has no words are all kept.
+    """
+    names = docs.columns
+    packed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"))
+    sketch, named = _classified(packed, **options)
+    kept = named.select(F.col("first").alias("row_id")).distinct()
+    rows = sketch.where("key is not null").join(kept, "row_id", "left_semi").unionByName(sketch.where("key is null"))
+    return rows.select(*[F.col("row").getField(x).alias(x) for x in names])

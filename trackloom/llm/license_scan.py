@@ -1,26 +1,27 @@
 """License scans with a positional rare-token index, with DataFrame functions only.
 
-Method: the index holds for each word of the licence templates its templates
-and positions there. Of the licence words that a file has, the
-``rare_words`` with the highest inverse document frequency (counted over all
-documents) are looked up; hits are intersected by relative position (place in
-the file less place in the template); an alignment counts when at least
-``least_share`` of the template's words, or of ``rare_words`` if it has more,
-stand at their places, and the template's mandatory key phrase is in the file.
-Since a second notice takes places among the rare words, each place of a key
-phrase in a file is also checked against all words of its template, outwards
-from the phrase: a word counts where it stands at most ``DRIFT`` words nearer or
-farther than the counted word before it would have it, so words may be inserted
-or left out; ``least_share`` of all the template's words must count. A
-template's label then joins those of the base phrases, which are found wherever
-their words stand consecutively.
-
-The score is the share of the rare words in place where these find a notice,
-and otherwise the share of the template's words that count.
+Method: the index holds for each word of the licence templates its templates and
+positions there. Of a template's words that a file has, those with the highest
+inverse document frequency (counted over all documents) are looked up:
+``rare_words`` of them, or so many more that a notice can't do without them all.
+Hits are intersected by relative position (place in the file less place in the
+template) with the places of the template's mandatory key phrase; where one
+fits, all words of the template are verified: a word is in place within
+``DRIFT`` words of where the key phrase has it, and a word more for each
+``STEPS`` words between them, so words may be inserted or left out.
+``least_share`` of a template's words must be in place. Each template is judged
+by itself, so a file gets the labels of all its notices. They join those of the
+base phrases, which are found wherever their words stand consecutively.
+
+The score is 1 with a base phrase, else the largest share of a template's words
+in place, 0 without a notice.
+
+The texts are read once; the rest works on the few with a licence word, from a
+table in the shared folder.
 
 Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Nulls and edge cases: a
-null text is empty: no words, no labels, score 0; a null id is kept; repeated
-rows get equal results; an empty table gives an empty result.
+null text is empty: no words, no labels, score 0; a null id is kept, and ids keep
+their type; repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.url_filter import LOWER, UPPER
+from trackloom.plans.lineage import stored
 
-NO_ID = 2**63 - 1
-DRIFT = 2
+DRIFT, STEPS = 2, 4
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Base phrases with their labels.
@@ -57,99 +58,78 @@ TEMPLATES = [
 ANCHORS = "license|licensed|permission|redistribution|rights|creative"
 
 
-def _lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+
+def key_place(phrase: str, line: str) -> int:
+    """The word of a template where its key phrase starts."""
+    parts, words = phrase.split(), line.split()
+    return next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)
 
 
-def _normal(text: Column) -> Column:
-    """Words joined by one space each; letters as they are."""
-    return F.trim(F.regexp_replace(text, SEPARATORS, " "))
+def slack(place: int, phrase: str, line: str) -> int:
+    """How far from its place a template's word may stand."""
+    return DRIFT + abs(place - key_place(phrase, line)) // STEPS
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+def _lowered(text: Column) -> Column:
+    """A-Z in lower case, and nothing else."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, df of the template words, over all rows; and the number of rows with it as ``n``."""
+def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row_id, doc_id, n_words, seen (template words), and the words of texts with a licence word as one line; stored."""
     vocabulary = sorted({w for _, _, line in TEMPLATES for w in line.split()})
-    words = F.split(F.lower(_normal(F.coalesce(F.col(text_col), F.lit("")))), " ")
-    found = docs.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), words)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    return found.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))  # one row
+    line = F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SEPARATORS, " "))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _lowered(line).alias("line"))
+    n_words = F.when(F.col("line") == "", 0).otherwise(F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1)
+    seen = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split("line", " "))
+    flagged = F.when(F.col("line").rlike(ANCHORS), F.col("line"))
+    return stored(rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", n_words.cast("long").alias("n_words"), seen.alias("seen"), flagged.alias("line")), "licenses")
 
 
-def _index(spark, frequencies: DataFrame) -> DataFrame:
-    """word, template, label, key phrase, size, place, idf."""
-    rows = [(w, k, label, phrase, len(line.split()), i) for k, (label, phrase, line) in enumerate(TEMPLATES) for i, w in enumerate(line.split())]
-    postings = spark.createDataFrame(rows, "word string, template int, label string, phrase string, size int, place int")
-    return postings.join(frequencies, "word", "left").withColumn("idf", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("df", F.lit(0)) + 1))).drop("df", "n")
+def _index(scanned: DataFrame) -> DataFrame:
+    """word, template, place, idf of the template words; idf over all rows."""
+    n = scanned.count()
+    rows = [(w, k, i) for k, (_, _, line) in enumerate(TEMPLATES) for i, w in enumerate(line.split())]
+    postings = scanned.sparkSession.createDataFrame(rows, "word string, template int, place int")
+    found = scanned.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    return postings.join(found, "word", "left").withColumn("idf", F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1))).drop("df")
 
 
 def _templates(spark) -> DataFrame:
-    """label, size, phrase, its words, and the numbered words before it (outwards) and after it."""
+    """template, label, phrase, size, key_place, lookups, places (word, delta from the key phrase, slack)."""
     rows = []
-    for label, phrase, line in TEMPLATES:
-        parts, words = phrase.split(), line.split()
-        i = next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)
-        rows.append((label, len(words), phrase, parts, list(enumerate(words[:i][::-1])), list(enumerate(words[i + len(parts) :]))))
-    side = "array<struct<i:int,word:string>>"
-    return spark.createDataFrame(rows, f"label string, size int, phrase string, parts array<string>, before {side}, after {side}")
-
-
-def _met(side: Column, near: Column) -> Column:
-    """How many of a template's words on one side of its key phrase ``near`` (the file's words on that side, outwards) has in order.
-
-    Folds over the template's words; the state is the best count for each offset, from -size to size.
-    """
-    reach = F.size(side)
-    offsets = F.sequence(F.lit(0), 2 * reach)
-    start = F.transform(offsets, lambda k: F.when(k == reach, 0))
-    before = lambda state, k: F.greatest(*[F.get(state, k + d) for d in range(-DRIFT, DRIFT + 1)])
-    step = lambda state, x: F.transform(offsets, lambda k: F.greatest(F.get(state, k), F.when(F.get(near, x.i + k - reach) == x.word, before(state, k) + 1)))
-    return F.array_max(F.aggregate(side, start, step))
-
-
-def notices(lined: DataFrame, least_share: float) -> DataFrame:
-    """doc_id, text_hash, labels, score from the places of key phrases, checked against all words of their templates."""
-    line = F.concat(F.lit(" "), F.col("line"), F.lit(" "))
-    some = lined.join(F.broadcast(_templates(lined.sparkSession)), F.contains(line, F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))  # fixed templates
-    some = some.withColumn("words", F.split("line", " ")).drop("line")
-    n, parts = F.size("parts"), F.col("parts")
-    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.get("words", i) == F.get(parts, F.lit(0))) & (F.slice("words", i + 1, n) == parts))
-    some = some.withColumn("at", F.explode(starts))
-    low = F.greatest(F.col("at") - 2 * F.size("before"), F.lit(0))
-    some = some.withColumns({"left": F.reverse(F.slice("words", low + 1, F.col("at") - low)), "right": F.slice("words", F.col("at") + n + 1, 2 * F.size("after"))})
-    met = n + _met(F.col("before"), F.col("left")) + _met(F.col("after"), F.col("right"))
-    found = some.select("doc_id", "text_hash", "label", (met / F.col("size")).alias("share")).where(F.col("share") >= least_share)
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("labels"), F.max("share").alias("score"))
-
-
-def matches(docs: DataFrame, rare_words: int, least_share: float) -> DataFrame:
-    """doc_id, text_hash, labels, score of each text with a licence notice."""
-    flagged = docs.where(F.col("text").rlike(f"(?i){ANCHORS}")).distinct()  # of repeated rows one
-    index = _index(docs.sparkSession, document_frequencies(docs))
-    lined = flagged.select("doc_id", "text_hash", _lowered(_normal(F.col("text"))).alias("line"))
-    placed = lined.select("doc_id", "text_hash", F.posexplode(F.split("line", " ")).alias("at", "word"))
-    words = index.select("word", "idf").distinct()
-    hits = placed.join(F.broadcast(words), "word")  # words of the fixed templates
-    rare = hits.groupBy("doc_id", "text_hash", "word", "idf").agg(F.count("*").alias("n"))
-    rare = rare.groupBy("doc_id", "text_hash").agg(F.slice(F.sort_array(F.collect_set(F.struct("idf", "word")), False), 1, rare_words).alias("rare"))
-    rare = rare.select("doc_id", "text_hash", F.explode("rare.word").alias("word"))
-    seen = hits.drop("idf").join(rare, ["doc_id", "text_hash", "word"])
-    votes = seen.join(F.broadcast(index), "word").withColumn("offset", F.col("at") - F.col("place"))
-    aligned = votes.groupBy("doc_id", "text_hash", "template", "label", "phrase", "size", "offset").agg(F.count_distinct("place").alias("met"))
-    aligned = aligned.where(F.col("met") >= least_share * F.least(F.col("size"), F.lit(rare_words)))
-    best = aligned.groupBy("doc_id", "text_hash", "template", "label", "phrase", "size").agg(F.max("met").alias("met"))
-    best = best.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("label", "phrase", (F.col("met") / F.least(F.col("size"), F.lit(rare_words))).alias("share"))).alias("found"))
-    verified = lined.join(best, ["doc_id", "text_hash"]).select("doc_id", "text_hash", F.filter("found", lambda f: F.contains(F.concat(F.lit(" "), "line", F.lit(" ")), F.concat(F.lit(" "), f.phrase, F.lit(" ")))).alias("found"))
-    by_rare = verified.where(F.size("found") > 0).select("doc_id", "text_hash", F.col("found.label").alias("labels"), F.least(F.array_max("found.share"), F.lit(1.0)).alias("score"))
-    both = by_rare.withColumn("whole", F.lit(None).cast("double")).unionByName(notices(lined, least_share).withColumnRenamed("score", "whole"), allowMissingColumns=True)
-    return both.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("labels")).alias("labels"), F.coalesce(F.max("score"), F.max("whole")).alias("score"))
-
-
-def _phrase_places(words: Column, phrase: str) -> Column:
-    """Word numbers where the phrase starts."""
+    for k, (label, phrase, line) in enumerate(TEMPLATES):
+        at, words = key_place(phrase, line), line.split()
+        rows.append((k, label, phrase.split(), len(words), at, max(slack(i, phrase, line) for i in range(len(words))), [(w, i - at, slack(i, phrase, line)) for i, w in enumerate(words)]))
+    return spark.createDataFrame(rows, "template int, label string, parts array<string>, size int, key_place int, widest int, places array<struct<word:string,delta:int,slack:int>>")
+
+
+def _starts(words: Column, parts: Column) -> Column:
+    """Word numbers where the parts stand consecutively."""
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (F.get(words, i) == F.get(parts, F.lit(0))) & (F.slice(words, i + 1, F.size(parts)) == parts))
+
+
+def notices(scanned: DataFrame, rare_words: int, least_share: float) -> DataFrame:
+    """row_id, labels, score of the rows with a licence notice."""
+    spark = scanned.sparkSession
+    lined = scanned.where("line is not null").select("row_id", F.split("line", " ").alias("words"))
+    index, templates = _index(scanned), _templates(spark)  # fixed numbers of rows
+    hits = lined.select("row_id", F.posexplode("words").alias("at", "word")).join(F.broadcast(index), "word")
+    lookups = F.greatest(F.lit(rare_words), F.floor((1 - least_share) * F.col("size")).cast("int") + 1)
+    rare = hits.select("row_id", "template", "word", "idf").distinct().groupBy("row_id", "template").agg(F.sort_array(F.collect_set(F.struct("idf", "word")), False).alias("rare"))
+    rare = rare.join(F.broadcast(templates.select("template", lookups.alias("lookups"))), "template").select("row_id", "template", F.explode(F.slice("rare.word", F.lit(1), F.col("lookups"))).alias("word"))
+    votes = hits.join(rare, ["row_id", "template", "word"]).groupBy("row_id", "template").agg(F.collect_set(F.col("at") - F.col("place")).alias("offsets"))
+    near = votes.join(F.broadcast(templates), "template").join(lined, "row_id")
+    fits = lambda p: F.exists("offsets", lambda o: F.abs(o - p + F.col("key_place")) <= F.col("widest"))
+    near = near.select("row_id", "label", "size", "places", "words", F.explode(F.filter(_starts(F.col("words"), F.col("parts")), fits)).alias("p"))
+    low = lambda x: F.greatest(F.col("p") + x.delta - x.slack, F.lit(0))
+    span = lambda x: F.greatest(F.col("p") + x.delta + x.slack + 1 - low(x), F.lit(0))
+    met = F.size(F.filter("places", lambda x: F.array_contains(F.slice("words", low(x) + 1, span(x)), x.word)))
+    found = near.select("row_id", "label", (met / F.col("size")).alias("share")).where(F.col("share") >= least_share)
+    return found.groupBy("row_id").agg(F.collect_set("label").alias("labels"), F.max("share").alias("score"))
+
+
+def _base_places(words: Column, phrase: str) -> Column:
     parts = phrase.split()
     fits = lambda i: reduce(lambda a, b: a & b, [F.get(words, i + k) == p for k, p in enumerate(parts)])
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: fits(i))
@@ -157,21 +137,18 @@ def _phrase_places(words: Column, phrase: str) -> Column:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_words: int = 8, least_share: float = 0.7) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row."""
-    rows = _rows(docs, id_col, text_col)
-    line = rows.select("doc_id", "text_hash", _normal(F.col("text")).alias("line"))
-    n_words = F.when(F.col("line") == "", 0).otherwise(F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1)
-    words = F.when(F.col("line").rlike("(?i) license"), F.split(_lowered(F.col("line")), " "))
-    line = line.select("doc_id", "text_hash", n_words.cast("long").alias("n_words"), words.alias("words"))
-    places = F.when(F.col("words").isNotNull(), F.array(*[_phrase_places(F.col("words"), p) for p in BASE]))
-    line = line.select("doc_id", "text_hash", "n_words", places.alias("places"))
-    every = F.flatten("places")
+    scanned = _scanned(docs, id_col, text_col)
+    flagged = scanned.where("line is not null").select("row_id", "doc_id", "n_words", F.split("line", " ").alias("words"))
+    flagged = flagged.select("row_id", "doc_id", "n_words", F.array(*[_base_places(F.col("words"), p) for p in BASE]).alias("places"))
+    every, none = F.flatten("places"), F.array().cast("array<string>")
     base = F.filter(F.array(*[F.when(F.size(F.get("places", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull())
-    line = line.select("doc_id", "text_hash", "n_words", F.coalesce(F.size(every), F.lit(0)).alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
-    out = line.join(matches(rows, rare_words, least_share), ["doc_id", "text_hash"], "left")
-    none = F.array().cast("array<string>")
-    return out.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", F.greatest("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
+    flagged = flagged.select("row_id", "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), base.alias("base"))
+    flagged = flagged.join(notices(scanned, rare_words, least_share), "row_id", "left").select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.coalesce("labels", none)))), ",").alias("labels"),
         F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
     )
+    nothing = F.lit(None).cast("long")
+    rest = scanned.where("line is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), nothing.alias("first_word"), nothing.alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
+    return flagged.unionByName(rest)

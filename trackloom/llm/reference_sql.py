@@ -1,6 +1,6 @@
 """DuckDB SQL for the results of the ``opN_*`` queries."""
 
-from trackloom.llm.license_scan import TEMPLATES
+from trackloom.llm.license_scan import TEMPLATES, key_place, slack
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LOWER_WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -124,10 +124,13 @@ SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(copy_id, w.d
 FROM w LEFT JOIN k USING (doc_id) LEFT JOIN named USING (key)
 """
 
-POSTINGS = ", ".join(f"('{w}', {k}, '{label}', '{phrase}', {len(line.split())}, {i})" for k, (label, phrase, line) in enumerate(TEMPLATES) for i, w in enumerate(line.split()))
+PLACES = ", ".join(f"('{w}', {k}, '{label}', {len(line.split())}, {i}, {i - key_place(phrase, line)}, {slack(i, phrase, line)})" for k, (label, phrase, line) in enumerate(TEMPLATES) for i, w in enumerate(line.split()))
+PARTS = ", ".join(f"('{w}', {k}, {j}, {len(phrase.split())})" for k, (_, phrase, _) in enumerate(TEMPLATES) for j, w in enumerate(phrase.split()))
 OP7 = f"""
-WITH postings(word, template, label, phrase, size, place) AS (
-  VALUES {POSTINGS}
+WITH places_of(word, template, label, size, place, delta, slack) AS (
+  VALUES {PLACES}
+), parts(word, template, j, n) AS (
+  VALUES {PARTS}
 ), d AS (
   SELECT doc_id, {LOWER_WORDS} AS w FROM documents
 ), p AS (
@@ -138,19 +141,13 @@ WITH postings(word, template, label, phrase, size, place) AS (
   WHERE (a.word IN ('mit', 'apache') AND b.word = 'license') OR (a.word = 'general' AND b.word = 'public' AND c.word = 'license')
 ), places AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY doc_id
-), df AS (
-  SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) AS idf FROM p WHERE word IN (SELECT word FROM postings) GROUP BY word
-), flagged AS (
-  SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d WHERE regexp_matches(array_to_string(w, ' '), 'license|licensed|permission|redistribution|rights|creative')
-), rare AS (
-  SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word DESC) AS k FROM (SELECT DISTINCT doc_id, word FROM p) JOIN flagged USING (doc_id) JOIN df USING (word)) WHERE k <= 8
-), votes AS (
-  SELECT doc_id, template, label, phrase, size, i - place AS shift, count(DISTINCT place) AS met
-  FROM p JOIN rare USING (doc_id, word) JOIN postings USING (word) GROUP BY ALL
-), best AS (
-  SELECT doc_id, template, label, phrase, size, max(met) AS met FROM votes WHERE met >= 0.7 * least(size, 8) GROUP BY ALL
+), starts AS (
+  SELECT doc_id, template, i - j AS p FROM p JOIN parts USING (word) GROUP BY doc_id, template, i - j, n HAVING count(*) = n
+), met AS (
+  SELECT s.doc_id, t.label, s.p, t.template, count(DISTINCT t.place) / max(t.size) AS share
+  FROM starts s JOIN places_of t ON t.template = s.template JOIN p ON p.doc_id = s.doc_id AND p.word = t.word AND abs(p.i - s.p - t.delta) <= t.slack GROUP BY ALL
 ), found AS (
-  SELECT doc_id, list(DISTINCT label) AS labels, least(max(met / least(size, 8)), 1.0) AS score FROM best JOIN flagged USING (doc_id) WHERE contains(line, ' ' || phrase || ' ') GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM met WHERE share >= 0.7 GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(places.labels), ','), '') AS base_labels,

@@ -40,6 +40,7 @@ from trackloom.llm.textbytes import SPACE_WORDS, find_words, give_back, hash_spa
 NO_ID = 2**63 - 1
 MAX_WINDOWS = 256
 FLUSH_BYTES = 24 << 20
+MAX_PARTS = 100_000  # shuffle partitions; beyond that a task works off more buckets, one after the other
 
 
 def _pack(doc: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, text: bytes) -> bytes:
@@ -293,15 +294,17 @@ def removed_words(spans: list[bytes] | None, n_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 3, bucket_bytes: int = 6 << 20, max_bytes: int = 16 << 20, sample_share: float = 1 / 64) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 3, part_bytes: int = 24 << 20, bucket_bytes: int = 6 << 20, max_bytes: int = 16 << 20, sample_share: float = 1 / 64) -> DataFrame:
     """key, spans (array of packed int32 pairs of word positions) of each row of ``docs`` (doc_id, key, text) with repeats."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-3 * total // (64 << 20)))
-    buckets = max(parts, -(-3 * total // bucket_bytes))  # a word is in about three packed strings
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, min(-(-3 * total // part_bytes), MAX_PARTS))  # a word is in about three packed strings
+    buckets = max(parts, -(-3 * total // bucket_bytes))
     hot = spark.sparkContext.broadcast(hot_minimisers(docs, window, gram, max_bytes, sample_share))
     blocks = docs.mapInArrow(_spread(window, gram, buckets, hot), "bucket long, block binary, key long, spans binary")
-    spans = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window, max_bytes), "key long, spans binary")
+    dealt = blocks.repartitionById(parts, (F.col("bucket") % parts).cast("int"))  # as many buckets for each task
+    spans = dealt.sortWithinPartitions("bucket").mapInArrow(_count(window, max_bytes), "key long, spans binary")
     return spans.groupBy("key").agg(F.collect_list("spans").alias("spans"))
 
 

@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark takes it to have, so that Python code on any machine means the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    return f"file://{found[5:]}" if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as written to the shared folder: later jobs read it and a lost executor costs nothing."""
     shared_dir(df.sparkSession)

@@ -14,14 +14,13 @@ that can't be read or fails its checksum is read again by its own offset, up to
 ``retries`` times, without touching the others; then the task fails.
 
 Nulls and edge cases: a null text is empty and stored as 64 zero bytes; a null
-id is kept; repeated rows are members of their own; equal texts give equal
+id is kept, and ids (not the empty string) keep their type; repeated rows are members of their own; equal texts give equal
 bytes; an empty table gives an empty archive folder and an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import time
 import uuid
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from trackloom.llm.textbytes import sliced
-from trackloom.plans.lineage import shared_dir
+from trackloom.plans.lineage import qualified, shared_dir
 
 ROW = 64
 BATCH_BYTES = 4 << 20
@@ -92,7 +91,8 @@ def describe(payload: bytes) -> str:
 # Archives.
 
 def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    """folder: with its scheme."""
+    return pafs.FileSystem.from_uri(folder)
 
 
 def _write(folder: str, roll_bytes: int) -> Callable:
@@ -116,7 +116,7 @@ def _write(folder: str, roll_bytes: int) -> Callable:
                     stream = fs.open_output_stream(temporary)
                     archive, count, n = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED), 0, n + 1
                 payload = text + bytes(-len(text) % ROW or (0 if text else ROW))
-                member = zipfile.ZipInfo(f"{count}/{'null' if own is None else own}.png")
+                member = zipfile.ZipInfo(f"{count}/{'' if own is None else f'id-{own}'}.png")
                 archive.writestr(member, encode_image(payload, len(text)))
                 count += 1
                 if stream.tell() >= roll_bytes:
@@ -130,9 +130,10 @@ def _write(folder: str, roll_bytes: int) -> Callable:
 
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", roll_bytes: int = 64 << 20) -> int:
     """Writes all payloads below ``folder``; returns the number of members."""
+    folder = qualified(docs.sparkSession, folder)
     fs, root = _file_system(folder)
     fs.create_dir(root, recursive=True)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(_write(folder, roll_bytes), "archive string, members long").agg(F.sum("members")).first()[0] or 0
 
 
@@ -216,7 +217,7 @@ class MediaArchive(DataSource):
 
 def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
     spark.dataSource.register(MediaArchive)
-    return spark.read.format("media_archive").options(**options).load(folder)
+    return spark.read.format("media_archive").options(**options).load(qualified(spark, folder))
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,21 +226,22 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for member, media in zip(batch.column("member").to_pylist(), batch.column("media").to_pylist()):
             own = member.split("/", 1)[1].removesuffix(".png")
             payload, n_bytes = decode_image(media)
-            rows.append((None if own == "null" else int(own), n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), describe(payload)))
+            rows.append((own.removeprefix("id-") or None, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), describe(payload)))
         if rows:
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def media_features(archives: DataFrame) -> DataFrame:
-    """What the stored bytes hold: one row a member."""
-    return archives.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """What the stored bytes hold: one row a member, the id as a string."""
+    return archives.mapInArrow(_features, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Stores ``docs`` in a new folder below the shared one and returns the features as read back."""
+    """Stores ``docs`` in a new folder below the shared one and returns the features as read back; the archives stay there."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}"
     write_archives(docs, folder, id_col, text_col)
-    return media_features(read_archives(spark, folder, **options))
+    found = media_features(read_archives(spark, folder, **options))
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

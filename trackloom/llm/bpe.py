@@ -7,11 +7,12 @@ open-addressing hash table probed for whole arrays; rows without a mergeable
 pair leave the matrix, which also loses a column a round. Pieces longer than
 ``LONG`` bytes would need as many rounds as they have bytes, so they go through
 the same merges with a heap. Encoded pieces are remembered within a task, up to
-``REMEMBER`` of them.
+``REMEMBER`` of them or ``REMEMBER_BYTES``.
 
 Nulls and edge cases: a null or empty text has no tokens; there are no special
 tokens, so their strings in a text are ordinary text; repeated rows get equal
-results; an empty table gives an empty result.
+results; ids that are null or empty decode to nothing, ids outside the vocabulary raise an
+error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from trackloom.llm.textbytes import ranges, sliced, worker_model
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
-REMEMBER = 150_000
+REMEMBER, REMEMBER_BYTES = 150_000, 16 << 20
+SLICE_IDS = 1 << 18
 MAX_VOCABULARY_BYTES = 64 << 20
 CELLS = 1 << 19
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, LONG)
@@ -93,12 +95,12 @@ class BytePairCodec:
     def forget(self) -> None:
         self.known, self.pending = _Codes(), []
         self.known.new = self.pending
-        self.ids, self.used = np.zeros(1 << 16, dtype=np.int32), 0
+        self.ids, self.used, self.size = np.zeros(1 << 16, dtype=np.int32), 0, 0
         self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and for each text the number of ids before it (n + 1 values)."""
-        if len(self.known) > REMEMBER:
+        if len(self.known) > REMEMBER or self.size > REMEMBER_BYTES:
             self.forget()
         codes, counts = [], []
         for text in texts:
@@ -122,6 +124,7 @@ class BytePairCodec:
 
     def _learn(self, pieces: list[bytes]) -> None:
         sizes = np.array([len(p) for p in pieces])
+        self.size += int(sizes.sum())
         whole = np.array([self.ranks.get(p, -1) for p in pieces], dtype=np.int32)
         direct = np.flatnonzero(whole >= 0)
         found = [(direct, np.ones(len(direct), dtype=np.int64), whole[direct])]
@@ -247,14 +250,21 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
 
 def decode(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """The id column and the decoded bytes of each row; null ids decode to nothing."""
+    """The id column and the decoded bytes of each row; null ids decode to nothing. Lists are taken ``SLICE_IDS`` ids at a time, a longer one alone."""
     vocabulary = _vocabulary(encoded, rank_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary.value, pattern)
         for batch in batches:
-            texts = [codec.decode(np.array(ids or [], dtype=np.int64)) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], [id_col, "decoded"])
+            lists = batch.column("ids")
+            sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            ids, bounds, low = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]), 0
+            while low < len(sizes):
+                high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_IDS, side="right")) - 1)
+                own = bounds[low : high + 1]
+                text, cuts = codec.decode(ids[own[0] : own[-1]]), np.concatenate([[0], np.cumsum(codec.byte_counts(ids[own[0] : own[-1]]))])[own - own[0]].tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array([text[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())], [id_col, "decoded"])
+                low = high
 
     encoded = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return encoded.mapInArrow(run, f"`{id_col}` {encoded.schema['id'].dataType.simpleString()}, decoded binary")

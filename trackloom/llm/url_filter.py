@@ -7,7 +7,7 @@ longest rule wins (of equal rules, a block). DataFrame functions only.
 
 Rules are joined as a table: Spark broadcasts them while they are small and
 shuffles on the hash prefix beyond that. Urls are judged once however often
-they occur. Nulls and edge cases: a null url, or one without ``://``, has an
+they occur, and the rows of a frequent url are dealt over many tasks. Nulls and edge cases: a null url, or one without ``://``, has an
 empty host and path and fits no rule; rules with a null or empty host fit
 nothing; a rule's null path is empty; repeated rows get equal results.
 """
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.hotkeys import attach
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -63,6 +65,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 def with_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of each row of ``pages``."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    judged = judge_urls(rows, rules, default=default).where("rule is not null").select(F.col("url").alias("_url"), "rule", "verdict")
-    out = rows.join(judged, F.col("url") == F.col("_url"), "left")
+    judged = judge_urls(rows, rules, default=default).where("rule is not null").select("url", "rule", "verdict")
+    out = attach(rows.where("url is not null"), judged, ["url"], ["page_id"], "left")
+    out = out.unionByName(rows.where("url is null"), allowMissingColumns=True)
     return out.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -220,8 +220,8 @@ def test_media_members_are_read_again(tmp_path, monkeypatch):
     payload = bytes(range(64))
     with zipfile.ZipFile(tmp_path / "part-0.zip", "w") as z:
         for k in range(3):
-            z.writestr(f"{k}/{k}.png", media.encode_image(payload, 64))
-    reader, calls = media.ArchiveReader({"path": str(tmp_path), "retries": "2"}), []
+            z.writestr(f"{k}/id-{k}.png", media.encode_image(payload, 64))
+    reader, calls = media.ArchiveReader({"path": f"file://{tmp_path}", "retries": "2"}), []
     whole = media.read_member
 
     def flaky(stream, member):

@@ -8,11 +8,15 @@ compare; a score is a sparse dot product, taken as a mean of weights over the
 whole text.
 
 Training takes at most ``max_train`` labelled texts, those with the smallest
-hash of their id: a bounded sample. Everything else covers all rows.
+hash of their id: a bounded sample. Their features are computed where the texts
+are; only examples of at most ``SIZE`` numbers each meet in one task, and no more
+than ``max_train``, however many documents have one id. Everything else covers
+all rows.
 
 Nulls and edge cases: a null or empty text has only the intercept; a null label
-or a label without document is left out; several labels of one document all
-count; without labels every score is 0.5; repeated rows get equal scores.
+or a label without document is left out; several labels of one document, or
+texts of one id, all count, but equal ones once; without labels every score is
+0.5; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -90,32 +94,55 @@ def example(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return i.astype(np.int32), np.bincount(place, np.concatenate(value)).astype(np.float32)
 
 
+EXAMPLE = "rank long, label double, buckets binary, numbers binary"
+
+
+def example_batch(rows: pa.RecordBatch, examples: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Examples (int32 buckets, float32 numbers) as rows of ``EXAMPLE``; ``rows`` has rank and label."""
+    packed = [(i.astype(np.int32).tobytes(), x.astype(np.float32).tobytes()) for i, x in examples]
+    buckets, numbers = zip(*packed) if packed else ((), ())
+    return pa.RecordBatch.from_arrays([rows.column("rank"), rows.column("label"), pa.array(buckets, pa.binary()), pa.array(numbers, pa.binary())], ["rank", "label", "buckets", "numbers"])
+
+
+def read_examples(batches: Iterable[pa.RecordBatch]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    return [
+        (np.frombuffer(i, dtype=np.int32), np.frombuffer(x, dtype=np.float32), y)
+        for batch in batches
+        for i, x, y in zip(batch.column("buckets").to_pylist(), batch.column("numbers").to_pylist(), batch.column("label").to_pylist())
+    ]
+
+
+def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, texts in sliced(batches):
+        yield example_batch(rows, map(example, texts))
+
+
 def _fit(epochs: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, examples = Ftrl(SIZE), []
-        for rows, texts in sliced(batches):
-            examples += [(example(t), y) for t, y in zip(texts, rows.column("label").to_pylist())]
+        model, examples = Ftrl(SIZE), read_examples(batches)
         order = np.random.default_rng(7)
         for _ in range(epochs):
             for k in order.permutation(len(examples)):
-                (i, x), y = examples[k]
+                i, x, y = examples[k]
                 model.update(i, x, y)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, held_out, max_train: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text, label of a bounded sample of labelled documents, in one partition; the labels' side is at most max_train small rows."""
+def training_examples(docs: DataFrame, labels: DataFrame, label_col: str, held_out, max_train: int, examples: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``max_train`` rows of ``EXAMPLE`` in one partition; ``examples``: batches of rank, label, text -> their examples."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(max_train)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id", "text"), "label").coalesce(1)
+    chosen = chosen.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(max_train)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    joined = texts.join(F.broadcast(chosen), "id")  # at most max_train small rows
+    found = joined.distinct().select(F.xxhash64("id", "text").alias("rank"), "label", "text").mapInArrow(examples, EXAMPLE)
+    return found.orderBy("rank", "label").limit(max_train).coalesce(1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, held_out, max_train: int = 6000, epochs: int = 4) -> np.ndarray:
     """Weights; ``held_out``: id column -> condition of ids that training leaves out."""
-    rows = training_rows(docs, labels, label_col, held_out, max_train).mapInArrow(_fit(epochs), "weights binary").collect()
+    rows = training_examples(docs, labels, label_col, held_out, max_train, _examples).mapInArrow(_fit(epochs), "weights binary").collect()
     return np.frombuffer(rows[0].weights, dtype=np.float32).astype(np.float64) if rows else np.zeros(SIZE)
 
 
@@ -124,10 +151,9 @@ def fold(id_column, n: int):
     return F.crc32(id_column.cast("string").cast("binary")) % n
 
 
-def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score between 0 and 1; rows don't move."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+def _scored(docs: DataFrame, weights: np.ndarray, text_col: str) -> DataFrame:
+    """row (a struct of all columns of ``docs``), score."""
+    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,5 +161,15 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_co
         for rows, texts in sliced(batches):
             yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(sigmoid(margins(texts, weights)))], ["row", "score"])
 
-    out = packed.mapInArrow(run, packed.select("row").schema.add("score", "double"))
-    return out.select(*[F.col("row").getField(n).alias(n) for n in names], F.col("score").alias(score_col))
+    return packed.mapInArrow(run, packed.select("row").schema.add("score", "double"))
+
+
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with a score between 0 and 1, in place of a column of that name; rows don't move."""
+    columns = [F.col("row").getField(n).alias(n) for n in docs.columns if n != score_col]
+    return _scored(docs, weights, text_col).select(*columns, F.col("score").alias(score_col))
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, all columns as they are."""
+    return _scored(docs, weights, text_col).where(F.col("score") >= least).select(*[F.col("row").getField(n).alias(n) for n in docs.columns])

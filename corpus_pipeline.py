@@ -1,4 +1,11 @@
-"""From raw documents to tokens: five stages, each one operator over all that the stage before kept."""
+"""From raw documents to tokens: five stages, each one operator over all that the stage before kept.
+
+Nulls and edge cases: a null or empty text goes through all stages as it is (its
+score is the intercept's) and ends with no tokens; a null id is kept; of near
+copies with one id or none, one stays; extra columns of any name stay until the
+last stage; an empty table gives an empty result. The tables between the stages
+stay in the shared folder with their session's checkpoints.
+"""
 
 from __future__ import annotations
 
@@ -21,24 +28,29 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a quality score of ``LEAST_QUALITY`` or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = quality.train(docs, labels, "quality", lambda i: quality.fold(i, 5) == 0)
-    return quality.score(docs, weights, score_col="_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+    return quality.keep_good(docs, weights, LEAST_QUALITY)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row with the smallest id (null last), then the smallest hash of its text; rows without words all stay."""
     return keep_first_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the passages of 13 words or more that a smaller id has too; n_chars is counted anew."""
     return substring_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which less than 5 % of the words stand in benchmark items."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number of tokens and the digests of ids and decoded bytes; a null text has no tokens."""
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 

@@ -179,8 +179,8 @@ def _classified(
     threshold: float = 0.8,
     recall: float = 0.999,
     max_hashes: int = 224,
-    block_rows: int = 256,
-    block_grams: int = 200_000,
+    block_rows: int = 128,
+    block_grams: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """For ``docs`` (id, text, row): the stored table row_id, id, text_hash, key, row; and for each key copy_id, class_id, n_links, first (the row_id of its class to keep)."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
@@ -193,16 +193,18 @@ def _classified(
     classes = sketch.where("key is not null").groupBy("key").agg(F.min(one).alias("one"), F.min("id").alias("copy_id"), F.min(F.struct("row_id", "n_grams", "bands")).alias("rep"))
     classes = cut(classes.select("key", "copy_id", "one", F.col("rep.row_id").alias("node"), "rep.n_grams", "rep.bands"))
 
-    banded = classes.select("node", "n_grams", F.explode("bands").alias("band"))
+    banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = attach(banded, buckets, ["band"], ["node"]).select("hub", "node", "n_grams").distinct()
+    members = attach(banded, buckets, ["band"], ["node"]).select("hub", "node").distinct()
     lists = members.groupBy("node").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # one a band at most
-    members = cut(members.join(lists, "node"))
+    members = cut(members.join(lists, "node").join(classes.select("node", "n_grams"), "node"))
     sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum("n_grams") / F.lit(block_grams))).alias("blocks"))
     placed = attach(members, sizes, ["hub"], ["node"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     texts = placed.join(sketch.select(F.col("row_id").alias("node"), "text"), "node").select("hub", "hubs", "node", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     pairs = texts.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "hubs", "text")
-    found = pairs.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_verify(n, threshold), "node long, n_links long, root long")
+    nth = F.col("j") * (F.col("j") + 1) / 2 + F.col("i")  # the pairs of one hub go to one task after the other
+    dealt = pairs.repartitionById(parts, F.pmod(F.xxhash64("hub") + nth.cast("long"), F.lit(parts)).cast("int"))
+    found = dealt.sortWithinPartitions("hub", "i", "j").mapInArrow(_verify(n, threshold), "node long, n_links long, root long")
     found = cut(found)
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     joined = connected_components(found, "node", "root")

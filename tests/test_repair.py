@@ -63,3 +63,21 @@ def test_streams(spark, tmp_path):
     assert {(r.user_id, r.track) for r in stitched.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
     sessions = live.run_to_end(live.sessions(source), str(tmp_path / "sessions"), "complete")
     assert sessions.count() == 4 and stream().isStreaming
+
+
+def test_assignments_are_the_best():
+    import itertools
+    import random
+
+    r = random.Random(3)
+    for n, m in [(1, 1), (2, 2), (3, 5), (5, 5), (4, 6), (6, 3)]:
+        over = {(i, 10 + j): r.randrange(20) for i in range(n) for j in range(m) if r.random() < 0.8}
+        pairs = matching.best_assignment(over, list(range(n)), list(range(10, 10 + m)))
+        assert len(pairs) == max(n, m)
+        one = max(sum(over.get((i, 10 + j), 0) for i, j in zip(range(n), way)) for way in itertools.permutations(range(m), n)) if n <= m else max(sum(over.get((i, 10 + j), 0) for j, i in zip(range(m), way)) for way in itertools.permutations(range(n), m))
+        few = set(range(n)) if n <= m else set(range(10, 10 + m))
+        side = 0 if n <= m else 1
+        best = sum(max([over.get(p, 0) for p in pairs if p[side] == x]) for x in few)
+        assert best >= one and sum(over.get(p, 0) for p in pairs) >= one
+    big = {(i, 100 + j): float(i == j) for i in range(40) for j in range(40)}
+    assert matching.best_assignment(big, list(range(40)), list(range(100, 140))) == [(i, 100 + i) for i in range(40)]

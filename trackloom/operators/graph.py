@@ -10,6 +10,8 @@ shared checkpoint folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from trackloom.plans.lineage import cut
 
 Graph = tuple[DataFrame, DataFrame]
 MAX_ROUNDS = 64
+MAX_WALK = 100_000  # steps of a walk along edges; one that doesn't end by then is an error
 
 
 def make_graph(nodes: DataFrame, edges: DataFrame) -> Graph:
@@ -100,7 +103,8 @@ def chain_links(edges: DataFrame) -> DataFrame:
 
 def contract_chains(graph: Graph) -> Graph:
     """Every maximal chain becomes its head."""
-    return condense(graph, path_heads(chain_links(graph[1])))
+    links = cut(chain_links(graph[1]))
+    return graph if links.isEmpty() else condense(graph, path_heads(links))
 
 
 def offshoots(graph: Graph, longest: float) -> DataFrame:
@@ -112,7 +116,8 @@ def offshoots(graph: Graph, longest: float) -> DataFrame:
 
 def remove_offshoots(graph: Graph, longest: float) -> Graph:
     """Short dead ends join their predecessor, which keeps its own life. Ends that this lays bare stay."""
-    return condense(graph, offshoots(graph, longest), recalculate_life=False)
+    found = cut(offshoots(graph, longest))
+    return graph if found.isEmpty() else condense(graph, found, recalculate_life=False)
 
 
 def split_joins(graph: Graph) -> DataFrame:
@@ -149,9 +154,10 @@ def remove_split_joins(graph: Graph, max_frames: float | None = None, max_relati
             found = found.where(F.col("longest") <= max_frames)
         if max_relative is not None:
             found = found.where(2 * F.col("mean_life") <= max_relative * (F.col("life_a") + F.col("life_d")))
-        chosen = cut(disjoint_first(cut(found)))
-        if chosen.isEmpty():
+        found = cut(found)
+        if found.isEmpty():
             return graph
+        chosen = cut(disjoint_first(found))  # never empty: the highest a of all is in it
         mapping = chosen.select(F.explode(F.array("b", "c", "d")).alias("old"), F.col("a").alias("new"))
         graph = settle(condense(graph, mapping))
     raise RuntimeError(f"splits are left after {MAX_ROUNDS} rounds")
@@ -176,15 +182,15 @@ def greedy_matching(pairs: DataFrame, left: str = "node1", right: str = "node2",
 
     That is the sequential greedy result; pairs whose turn has come are taken all at once.
     """
-    order = F.struct(F.col(score), F.col(left), F.col(right))
     rest = cut(pairs.select(left, right, score).where(F.col(score).isNotNull()).distinct())
-    taken = rest.limit(0)
-    for _ in range(10_000):
-        best_l, best_r = Window.partitionBy(left).orderBy(score, right), Window.partitionBy(right).orderBy(score, left)
-        now = cut(rest.withColumns({"_l": F.row_number().over(best_l), "_r": F.row_number().over(best_r)}).where("_l = 1 and _r = 1").select(left, right, score))
+    taken = []
+    for _ in range(MAX_WALK):
+        best_l = rest.groupBy(left).agg(F.min(F.struct(score, right)).alias("m")).select(left, F.col(f"m.{right}").alias(right))
+        best_r = rest.groupBy(right).agg(F.min(F.struct(score, left)).alias("m")).select(right, f"m.{left}", f"m.{score}")
+        now = cut(best_r.join(best_l, [left, right]).select(left, right, score))  # a pair that is the least at both its ends
         if now.isEmpty():
-            return taken
-        taken = cut(taken.unionAll(now))
+            return reduce(DataFrame.unionAll, taken, now)
+        taken.append(now)
         rest = cut(rest.join(now.select(left), left, "left_anti").join(now.select(right), right, "left_anti"))
     raise RuntimeError("no end of matching")
 
@@ -216,8 +222,8 @@ def acausal_edges(graph: Graph, limit: float) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where(F.col("born_f") - F.col("died_f") < -limit).select("src", "dst")
 
 
-def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int, up: bool = True, down: bool = True) -> DataFrame:
-    """start, node_id, distance: the nodes within ``hops`` edges of each start; edges are followed down, up or both ways."""
+def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int | None, up: bool = True, down: bool = True) -> DataFrame:
+    """start, node_id, distance: the nodes within ``hops`` edges of each start, or all that can be reached; edges are followed down, up or both ways."""
     step = []
     if down:
         step.append(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")))
@@ -226,17 +232,19 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int, up: bool = Tru
     step = (step[0] if len(step) == 1 else step[0].unionAll(step[1])).distinct()
     front = cut(starts.select(F.col("node_id").alias("start"), "node_id").distinct())
     found = front.withColumn("distance", F.lit(0))
-    for k in range(1, hops + 1):
+    for k in range(1, (MAX_WALK if hops is None else hops) + 1):
         front = cut(front.join(step, "node_id").select("start", F.col("next").alias("node_id")).distinct().join(found, ["start", "node_id"], "left_anti"))
         if front.isEmpty():
-            break
+            return found
         found = cut(found.unionAll(front.withColumn("distance", F.lit(k))))
+    if hops is None:
+        raise RuntimeError(f"no end of the walk after {MAX_WALK} steps")
     return found
 
 
-def family_tree(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
+def family_tree(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node_id of all ancestors and descendants, and the start itself."""
-    down, up = neighbourhood(edges, starts, most, up=False), neighbourhood(edges, starts, most, down=False)
+    down, up = neighbourhood(edges, starts, None, up=False), neighbourhood(edges, starts, None, down=False)
     return down.select("start", "node_id").union(up.select("start", "node_id")).distinct()
 
 
@@ -258,13 +266,15 @@ def object_counts(graph: Graph, areas: DataFrame, movers: DataFrame) -> DataFram
     links = cut(links.withColumn("n_in", F.count("*").over(Window.partitionBy("dst"))))
     known = cut(one.withColumn("count", F.lit(1.0)))
     pending = links
-    for _ in range(10_000):
+    for _ in range(MAX_WALK):
         ready = pending.join(known.select(F.col("node_id").alias("src"), "count"), "src").groupBy("dst", "n_in").agg(F.count("*").alias("n"), F.sum(F.col("count") * F.col("share")).alias("count")).where("n = n_in")
         ready = cut(ready.select(F.col("dst").alias("node_id"), "count"))
         if ready.isEmpty():
             break
         known = cut(known.unionAll(ready))
         pending = cut(pending.join(ready.select(F.col("node_id").alias("dst")), "dst", "left_anti"))
+    else:
+        raise RuntimeError(f"counts still flow after {MAX_WALK} levels")
     steps = F.ceil(F.greatest(F.lit(0.0), F.try_divide(F.col("area") - (F.col("mean") - F.col("std") / 2), F.col("std") / 2)))
     by_area = F.when(F.col("area").isNull(), 1.0).otherwise(0.5 + 0.5 * F.coalesce(steps, F.lit(0)))
     out = size.join(known, "node_id", "left").crossJoin(F.broadcast(stats))  # one row
@@ -281,13 +291,26 @@ def simplify(graph: Graph, longest_split: float, relative_split: float, longest_
     return settle(contract_chains(graph))
 
 
-def solve(graph: Graph, longest_split: float, relative_split: float, longest_offshoot: float, max_rounds: int = 20) -> Graph:
-    """``simplify`` until neither nodes nor edges get fewer."""
+def open_pairs(graph: Graph, gaps: DataFrame) -> DataFrame:
+    """node1, node2, score of the gaps (of original ids) between nodes of today: the first without successor, the second without predecessor and born later; of gaps of one pair the least score."""
+    nodes, edges = graph
+    parts = nodes.select(F.explode("components").alias("part"), "node_id", "born_f", "died_f")
+    ends = parts.join(edges.select(F.col("src").alias("node_id")), "node_id", "left_anti").select(F.col("part").alias("node1"), F.col("node_id").alias("a"), "died_f")
+    starts = parts.join(edges.select(F.col("dst").alias("node_id")), "node_id", "left_anti").select(F.col("part").alias("node2"), F.col("node_id").alias("b"), "born_f")
+    found = gaps.join(ends, "node1").join(starts, "node2").where("a != b AND born_f > died_f")
+    return found.groupBy(F.col("a").alias("node1"), F.col("b").alias("node2")).agg(F.min("score").alias("score"))
+
+
+def solve(graph: Graph, longest_split: float, relative_split: float, longest_offshoot: float, gaps: DataFrame | None = None, max_rounds: int = 100) -> Graph:
+    """``simplify``, then bridges over ``gaps`` (node1, node2, score of original ids; the least scores first), until neither nodes nor edges get fewer."""
     graph = settle(make_graph(*graph))
     size = (graph[0].count(), graph[1].count())
     for _ in range(max_rounds):
         graph = simplify(graph, longest_split, relative_split, longest_offshoot)
+        if gaps is not None:
+            pairs = greedy_matching(open_pairs(graph, gaps))
+            graph = graph if pairs.isEmpty() else settle(bridge_gaps(graph, pairs))
         was, size = size, (graph[0].count(), graph[1].count())
         if was == size:
-            break
-    return graph
+            return graph
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")

@@ -74,9 +74,9 @@ def test_states_and_segments(spark):
     r = np.random.default_rng(1)
     x = np.concatenate([r.normal(0, 1, 80), r.normal(8, 1, 60), r.normal(0, 1, 40)])
     df = frame(spark, x=x.tolist())
-    states = column(models.hidden_states(df, "x"), "state")
+    states = column(models.hidden_states(df, "x", keys=("bid",)), "state")
     assert np.mean(np.array(states) == np.repeat([0, 1, 0], [80, 60, 40])) > 0.98
-    cuts = sorted(row["first"] for row in models.segments(df, "x").collect())
+    cuts = sorted(row["first"] for row in models.segments(df, "x", keys=("bid",)).collect())
     assert len(cuts) == 3 and abs(cuts[1] - 80) < 4 and abs(cuts[2] - 140) < 4
     assert models.segment(r.normal(0, 1, 100)) == [0]
 
@@ -93,6 +93,9 @@ def test_cure(spark):
     df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "id long, v array<double>")
     got = {x.id: x.cluster for x in models.cure(df, "v", 3, "id").collect()}
     assert [len({got[k] for k in range(g * 30, g * 30 + 30)}) for g in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+    got = {x.id: x.cluster for x in models.cure(df, "v", 3, "id", part_rows=25, partial=2).collect()}  # several parts and rounds
+    assert [len({got[k] for k in range(g * 30, g * 30 + 30)}) for g in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+    assert models.cure(df.limit(0), "v", 3, "id").count() == 0
 
 
 def test_ks(spark):

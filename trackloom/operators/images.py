@@ -46,9 +46,10 @@ def mask_pixels(df: DataFrame, points: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(filled(points)).alias("p")).select(*keys, "p.x", "p.y")
 
 
-def overlaps(parents: DataFrame, children: DataFrame, parent: str, child: str) -> DataFrame:
-    """parent, child, pixels in common: masks as rows (id, x, y)."""
-    return parents.select(parent, "x", "y").distinct().join(children.select(child, "x", "y").distinct(), ["x", "y"]).groupBy(parent, child).agg(F.count("*").alias("pixels"))
+def overlaps(parents: DataFrame, children: DataFrame, parent: str, child: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """within, parent, child, pixels in common: masks as rows (id, x, y); only masks of one frame or collision (``within``) are compared, where given."""
+    left, right = parents.select(*within, parent, "x", "y").distinct(), children.select(*within, child, "x", "y").distinct()
+    return left.join(right, [*within, "x", "y"]).groupBy(*within, parent, child).agg(F.count("*").alias("pixels"))
 
 
 def resolve_pairs(found: DataFrame, collision: str, margin: int) -> DataFrame:
@@ -107,7 +108,7 @@ def ends_and_branches(skeleton: np.ndarray) -> tuple[list[tuple[int, int]], list
 
 
 def skeletons(masks: DataFrame, key: str) -> DataFrame:
-    """key, pixels, skeleton pixels, ends, branches of each mask (rows key, x, y)."""
+    """key, pixels, skeleton pixels, ends, branches of each mask (rows key, x, y); a group is a mask's distinct pixels, which its grid bounds."""
     schema = f"{key} {masks.schema[key].dataType.simpleString()}, pixels long, thin long, ends long, branches long"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -118,7 +119,7 @@ def skeletons(masks: DataFrame, key: str) -> DataFrame:
         ends, branches = ends_and_branches(s)
         return pd.DataFrame([(pdf[key].iloc[0], int(grid.sum()), int(s.sum()), len(ends), len(branches))], columns=[key, "pixels", "thin", "ends", "branches"])
 
-    return masks.select(key, "x", "y").groupBy(key).applyInPandas(one, schema)
+    return masks.select(key, "x", "y").distinct().groupBy(key).applyInPandas(one, schema)
 
 
 def pixel_components(pixels: DataFrame, image: str, batch_rows: int = 1) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Per-series models: smoothing weights, hidden states, segments; clustering of a bounded set of points.
+"""Per-series models: smoothing weights, hidden states, segments; clustering in parts.
 
-Grouped functions get one series at a time (a track is bounded by its pauses);
-the work is spread by key.
+Grouped functions get one track at a time: their keys are an object and its
+segment, which ends at the first pause. An object that is seen without a pause
+for ever needs a cut by time first (``series.tumbling_bins``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.plans.lineage import cut
+
 
 def savgol_weights(width: int, order: int) -> list[float]:
     """Weights of the value at the centre of a least-squares polynomial over ``width`` (odd) points."""
@@ -83,16 +86,22 @@ def fit_states(x: np.ndarray, states: int = 2, rounds: int = 20) -> np.ndarray:
     return rank[g.argmax(axis=1)]
 
 
-def hidden_states(df: DataFrame, column: str, states: int = 2, key: str = "bid", by: str = "frame") -> DataFrame:
-    """key, by, state of each row with a value."""
+def _by_track(df: DataFrame, column: str, keys: tuple[str, ...], by: str) -> DataFrame:
+    return df.where(F.col(column).isNotNull()).select(*keys, F.col(by).cast("long").alias("_by"), F.col(column).cast("double").alias("_v"))
+
+
+def _kinds(df: DataFrame, keys: tuple[str, ...]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def hidden_states(df: DataFrame, column: str, states: int = 2, keys: tuple[str, ...] = ("bid", "segment"), by: str = "frame") -> DataFrame:
+    """keys, by, state of each row with a value."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("by")
-        return pd.DataFrame({"key": pdf["key"], "by": pdf["by"], "state": fit_states(pdf["v"].to_numpy(float), states)})
+        pdf = pdf.sort_values("_by")
+        return pdf[[*keys, "_by"]].assign(state=fit_states(pdf["_v"].to_numpy(float), states))
 
-    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(by).cast("long").alias("by"), F.col(column).cast("double").alias("v"))
-    kind = df.schema[key].dataType.simpleString()
-    return rows.groupBy("key").applyInPandas(one, f"key {kind}, by long, state long").toDF(key, by, "state")
+    return _by_track(df, column, keys, by).groupBy(*keys).applyInPandas(one, f"{_kinds(df, keys)}, _by long, state long").withColumnRenamed("_by", by)
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -176,67 +185,90 @@ def segment(x: np.ndarray, least: int = 6, p: float = 0.05) -> list[int]:
     return starts
 
 
-def segments(df: DataFrame, column: str, key: str = "bid", by: str = "frame", least: int = 6, p: float = 0.05) -> DataFrame:
-    """key, first and last order value, n and mean of each segment of a series."""
+def segments(df: DataFrame, column: str, keys: tuple[str, ...] = ("bid", "segment"), by: str = "frame", least: int = 6, p: float = 0.05) -> DataFrame:
+    """keys, first and last order value, n and mean of each stretch of a track with one level."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("by")
-        x, by_ = pdf["v"].to_numpy(float), pdf["by"].to_numpy()
+        pdf = pdf.sort_values("_by")
+        x, by_, own = pdf["_v"].to_numpy(float), pdf["_by"].to_numpy(), [pdf[k].iloc[0] for k in keys]
         cuts = [*segment(x, least, p), len(x)]
-        rows = [(pdf["key"].iloc[0], by_[a], by_[b - 1], b - a, x[a:b].mean()) for a, b in zip(cuts, cuts[1:])]
-        return pd.DataFrame(rows, columns=["key", "first", "last", "n", "mean"])
+        rows = [(*own, by_[a], by_[b - 1], b - a, x[a:b].mean()) for a, b in zip(cuts, cuts[1:])]
+        return pd.DataFrame(rows, columns=[*keys, "first", "last", "n", "mean"])
 
-    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(by).cast("long").alias("by"), F.col(column).cast("double").alias("v"))
-    kind = df.schema[key].dataType.simpleString()
-    return rows.groupBy("key").applyInPandas(one, f"key {kind}, first long, last long, n long, mean double").withColumnRenamed("key", key)
+    return _by_track(df, column, keys, by).groupBy(*keys).applyInPandas(one, f"{_kinds(df, keys)}, first long, last long, n long, mean double")
 
 
-def cure_centres(points: np.ndarray, clusters: int, reps: int = 3, shrink: float = 0.5) -> list[np.ndarray]:
-    """Representatives of each cluster: merges the two clusters whose representatives are nearest on average by cosine, until ``clusters`` are left.
+def scattered(points: np.ndarray, mean: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` points far from the mean and from each other."""
+    d = np.linalg.norm(points - mean, axis=1)
+    picked = [int(d.argmax())]
+    while len(picked) < min(most, len(points)):
+        d = np.min([np.linalg.norm(points - points[k], axis=1) for k in picked], axis=0)
+        picked.append(int(d.argmax()))
+    return points[picked]
 
-    Representatives are the ``reps`` farthest-first points of a cluster, moved by ``shrink`` towards its mean.
-    """
 
-    def chosen(members: np.ndarray) -> np.ndarray:
-        mean = members.mean(axis=0)
-        d = np.linalg.norm(members - mean, axis=1)
-        picked = [int(d.argmax())]
-        while len(picked) < min(reps, len(members)):
-            d = np.min([np.linalg.norm(members - members[k], axis=1) for k in picked], axis=0)
-            picked.append(int(d.argmax()))
-        return members[picked] + shrink * (mean - members[picked])
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+def cure_merge(points: list[np.ndarray], means: np.ndarray, sizes: np.ndarray, clusters: int, reps: int = 3, shrink: float = 0.5) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(scattered points, mean, size) of each cluster: merges the two whose representatives are nearest on average by cosine, until ``clusters`` are left.
 
-    members = [points[k : k + 1] for k in range(len(points))]
-    centre = unit(points)  # the mean of a cluster's unit representatives: its dot products are average similarities
+    Representatives are the scattered points moved by ``shrink`` towards the mean.
+    """
+    points, means, sizes = list(points), means.astype(float).copy(), sizes.copy()
+    facing = lambda k: unit(points[k] + shrink * (means[k] - points[k])).mean(axis=0)
+    centre = np.array([facing(k) for k in range(len(points))])
     alike = centre @ centre.T
     np.fill_diagonal(alike, -np.inf)
     alive = list(range(len(points)))
-    reps_of = {k: members[k] for k in alive}
     while len(alive) > clusters:
         sub = alike[np.ix_(alive, alive)]
         i, j = sorted(alive[k] for k in np.unravel_index(sub.argmax(), sub.shape))
-        members[i] = np.concatenate([members[i], members[j]])
-        reps_of[i] = chosen(members[i])
+        means[i] = (sizes[i] * means[i] + sizes[j] * means[j]) / (sizes[i] + sizes[j])
+        sizes[i] += sizes[j]
+        points[i] = scattered(np.concatenate([points[i], points[j]]), means[i], reps)
         alive.remove(j)
-        centre[i] = unit(reps_of[i]).mean(axis=0)
+        centre[i] = facing(i)
         alike[i, :] = alike[:, i] = centre @ centre[i]
         alike[i, i] = -np.inf
-    return [reps_of[k] for k in alive]
+    return [(points[k], means[k], int(sizes[k])) for k in alive]
+
 
+def cure(df: DataFrame, vector: str, clusters: int, id_col: str, part_rows: int = 400, partial: int = 5, shrink: float = 0.5) -> DataFrame:
+    """id, cluster of every row: CURE over all rows, in parts.
 
-def cure(df: DataFrame, vector: str, clusters: int, id_col: str, sample: int = 400) -> DataFrame:
-    """id, cluster of every row: CURE on a bounded sample (smallest hashes of the ids), then each row goes to its nearest representative."""
+    Parts of about ``part_rows`` rows are merged down to ``partial`` times as many
+    clusters as wanted, each kept as its scattered points, mean and size; these
+    meet in parts again until one part is left, which is merged to ``clusters``.
+    Then each row goes to its nearest representative. No task has more than a
+    part, and the rounds grow with the logarithm of the rows.
+    """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     kind = df.schema[id_col].dataType.simpleString()
-    if not taken:
+    schema = "points array<array<double>>, mean array<double>, n long"
+    now, count = rows.select(F.array("v").alias("points"), F.col("v").alias("mean"), F.lit(1).cast("long").alias("n"), F.xxhash64("id").alias("hash")), rows.count()
+    if not count:
         return rows.select("id", F.lit(0).alias("cluster")).toDF(id_col, "cluster")
-    centres = cure_centres(np.array([r.v for r in taken]), clusters)
-    flat, owner = np.concatenate(centres), np.repeat(np.arange(len(centres)), [len(c) for c in centres])
-    flat = flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
+
+    def merged(wanted: int):
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = cure_merge([np.array([list(p) for p in ps]) for ps in pdf["points"]], np.array([list(m) for m in pdf["mean"]]), pdf["n"].to_numpy(), wanted, shrink=shrink)
+            return pd.DataFrame([(p.tolist(), m.tolist(), n) for p, m, n in found], columns=["points", "mean", "n"])
+
+        return one
+
+    while True:
+        parts = -(-count // part_rows)
+        now = now.withColumn("part", F.pmod("hash", F.lit(parts)))
+        now = cut(now.groupBy("part").applyInPandas(merged(clusters if parts == 1 else clusters * partial), schema).withColumn("hash", F.xxhash64("mean", "n")))
+        count = now.count()
+        if parts == 1:
+            break
+    centres = [(np.array([list(p) for p in r.points]), np.array(r["mean"])) for r in now.orderBy(F.desc("n"), "hash").collect()]  # as many as clusters
+    flat = unit(np.concatenate([p + shrink * (m - p) for p, m in centres]))
+    owner = np.repeat(np.arange(len(centres)), [len(p) for p, _ in centres])
 
     def assign(batches):
         for pdf in batches:
@@ -247,15 +279,17 @@ def cure(df: DataFrame, vector: str, clusters: int, id_col: str, sample: int = 4
 
 
 def bootstrap_exponential(df: DataFrame, column: str, key: str, samples: int, share: float, seed: int = 1) -> DataFrame:
-    """key, sample, scale, n: means (the fitted scales of an exponential) of random samples of each series."""
+    """key, sample, scale, n, ks: random samples of each series, the scale of the exponential fitted to each (its mean), and how far the sample is from that."""
     rows = df.where(F.col(column) >= 0).select(key, column, F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
-    return rows.where(F.rand(seed) < share).groupBy(key, "sample").agg(F.avg(column).alias("scale"), F.count("*").alias("n"))
+    drawn = cut(rows.where(F.rand(seed) < share))
+    sizes = drawn.groupBy(key, "sample").agg(F.count("*").alias("n"))
+    return sizes.join(exponential_ks(drawn, column, key, "sample"), [key, "sample"]).select(key, "sample", "scale", "n", "ks")
 
 
-def exponential_ks(df: DataFrame, column: str, key: str) -> DataFrame:
-    """key, scale, ks: distance of a series' distribution function from the exponential with its mean."""
-    w = Window.partitionBy(key)
+def exponential_ks(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """keys, scale, ks: distance of a series' distribution function from the exponential with its mean."""
+    w = Window.partitionBy(*keys)
     rows = df.where(F.col(column) >= 0).withColumns({"_scale": F.avg(column).over(w), "_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(column))})
     p = 1 - F.exp(F.try_divide(-F.col(column), F.col("_scale")))
     far = F.greatest(F.abs(F.col("_i") / F.col("_n") - p), F.abs((F.col("_i") - 1) / F.col("_n") - p))
-    return rows.groupBy(key, F.col("_scale").alias("scale")).agg(F.max(far).alias("ks"))
+    return rows.groupBy(*keys, F.col("_scale").alias("scale")).agg(F.max(far).alias("ks"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from trackloom.operators import images, models
 from trackloom.plans.lineage import shared_dir
 from trackloom.plans.registry import query
-from trackloom.sources.tracks import S_SQL, T_SQL, observations, table
+from trackloom.sources.tracks import S_SQL, T_SQL, observations, table, with_segments
 from trackloom.streaming import tracks as live
 
 r6 = lambda c: F.round(c, 6) + 0.0
+LONG_PAUSE = 24 * 3600
 WEIGHTS = models.savgol_weights(5, 2)
 SAVGOL = " + ".join(f"({c!r}) * " + ("x" if k == 0 else f"{'lag' if k < 0 else 'lead'}(x, {abs(k)}) OVER w") for k, c in zip(range(-2, 3), WEIGHTS))
 
@@ -28,12 +29,12 @@ def savgol(spark, sf_dir):
 
 @query()
 def hmm_states(spark, sf_dir):
-    return models.hidden_states(observations(spark, sf_dir), "x")
+    return models.hidden_states(with_segments(observations(spark, sf_dir), LONG_PAUSE), "x")
 
 
 @query()
 def segmentation(spark, sf_dir):
-    return models.segments(observations(spark, sf_dir), "x").withColumn("mean", r6("mean"))
+    return models.segments(with_segments(observations(spark, sf_dir), LONG_PAUSE), "x").withColumn("mean", r6("mean"))
 
 
 @query()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,12 +38,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_folders: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder: later jobs read the columns they need.
 
-    Tables and checkpoints stay until their session's folder is cleared; a
-    result may be read long after the call.
+    A table stays until the ``scratch`` block that it was made in ends, or else
+    until the shared folder is cleared: a result may be read long after the call.
     """
     folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _folders.append(folder)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are stored inside the block at its end; what was made of them has to be written by then."""
+    before = len(_folders)
+    try:
+        yield
+    finally:
+        for folder in _folders[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _folders[before:]

@@ -182,7 +182,7 @@ def _classified(
     block_rows: int = 128,
     block_grams: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """For ``docs`` (id, text, row): the stored table row_id, id, text_hash, key, row; and for each key copy_id, class_id, n_links, first (the row_id of its class to keep)."""
+    """For ``docs`` (id, text, row): the stored table row_id, id, text_hash, key, text, row; and for each key copy_id, class_id, n_links, first (the row_id of its class to keep)."""
     bands, rows = choose_bands(threshold, recall, max_hashes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select(F.struct("id", F.col("row").alias("row")).alias("row"), "text")
@@ -191,13 +191,13 @@ def _classified(
     sketch = stored(sketch, "sketches")
     one = F.struct(F.isnull("id"), "id", "text_hash", "row_id")  # the row to keep of equal ones: least id, nulls last
     classes = sketch.where("key is not null").groupBy("key").agg(F.min(one).alias("one"), F.min("id").alias("copy_id"), F.min(F.struct("row_id", "n_grams", "bands")).alias("rep"))
-    classes = cut(classes.select("key", "copy_id", "one", F.col("rep.row_id").alias("node"), "rep.n_grams", "rep.bands"))
+    classes = stored(classes.select("key", "copy_id", "one", F.col("rep.row_id").alias("node"), "rep.n_grams", "rep.bands"), "classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = attach(banded, buckets, ["band"], ["node"]).select("hub", "node").distinct()
     lists = members.groupBy("node").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # one a band at most
-    members = cut(members.join(lists, "node").join(classes.select("node", "n_grams"), "node"))
+    members = stored(members.join(lists, "node").join(classes.select("node", "n_grams"), "node"), "members")
     sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum("n_grams") / F.lit(block_grams))).alias("blocks"))
     placed = attach(members, sizes, ["hub"], ["node"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     texts = placed.join(sketch.select(F.col("row_id").alias("node"), "text"), "node").select("hub", "hubs", "node", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -237,8 +237,9 @@ def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows whose text has no words are all kept.
     """
     names = docs.columns
-    packed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"))
+    row = F.struct(*[F.col(f"`{x}`") for x in names if x != text_col] or [F.lit(0).alias("none")])
+    packed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
     sketch, named = _classified(packed, **options)
     kept = named.select(F.col("first").alias("row_id")).distinct()
     rows = sketch.where("key is not null").join(kept, "row_id", "left_semi").unionByName(sketch.where("key is null"))
-    return rows.select(*[F.col("row").getField(x).alias(x) for x in names])
+    return rows.select(*[F.col("text").alias(x) if x == text_col else F.col("row").getField(x).alias(x) for x in names])

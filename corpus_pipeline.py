@@ -3,8 +3,9 @@
 Nulls and edge cases: a null or empty text goes through all stages as it is (its
 score is the intercept's) and ends with no tokens; a null id is kept; of near
 copies with one id or none, one stays; extra columns of any name stay until the
-last stage; an empty table gives an empty result. The tables between the stages
-stay in the shared folder with their session's checkpoints.
+last stage; an empty table gives an empty result. The stages' results stay in the
+shared folder with their session's checkpoints; what a stage stores on its way
+goes when its result is written.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from trackloom.llm import bpe, quality
 from trackloom.llm.decontamination import drop_contaminated
 from trackloom.llm.ngram_join import keep_first_of_each
 from trackloom.llm.substring_dedup import substring_dedup
-from trackloom.plans.lineage import shared_dir
+from trackloom.plans.lineage import scratch, shared_dir
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAST_QUALITY = 0.3
@@ -70,6 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -99,7 +99,7 @@ T3 = f"WITH {T_SQL}, p AS (SELECT bid, frame, x AS ax, y AS ay, lead(x) OVER w A
 
 
 @query(f"""{T3}, d AS (SELECT *, (bx - ax) * (dy - cy) - (by_ - ay) * (dx - cx) AS det FROM p WHERE dx IS NOT NULL)
-SELECT bid, frame, round(CASE WHEN det <> 0 THEN ax + ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det * (bx - ax) END, 4) + 0.0 AS x, round(CASE WHEN det <> 0 THEN ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det * sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) END, 4) + 0.0 AS distance FROM d""")
+SELECT bid, frame, round(CASE WHEN det <> 0 THEN ax + ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det * (bx - ax) END + 1e-7, 4) + 0.0 AS x, round(CASE WHEN det <> 0 THEN ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det * sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) END + 1e-7, 4) + 0.0 AS distance FROM d""")
 def line_crossings(spark, sf_dir):
     """The line through two positions of a track against that through the next two."""
     from pyspark.sql import Window
@@ -108,7 +108,7 @@ def line_crossings(spark, sf_dir):
     at = lambda k: F.struct((F.lead("x", k).over(w) if k else F.col("x")).alias("x"), (F.lead("y", k).over(w) if k else F.col("y")).alias("y"))
     rows = observations(spark, sf_dir).select("bid", "frame", *[at(k).alias(f"p{k}") for k in range(4)]).where("p3.x IS NOT NULL")
     met = plane.line_crossing(*[F.col(f"p{k}") for k in range(4)])
-    return rows.select("bid", "frame", met.alias("m")).select("bid", "frame", (F.round("m.x", 4) + 0.0).alias("x"), (F.round("m.distance", 4) + 0.0).alias("distance"))
+    return rows.select("bid", "frame", met.alias("m")).select("bid", "frame", (F.round(F.col("m.x") + 1e-7, 4) + 0.0).alias("x"), (F.round(F.col("m.distance") + 1e-7, 4) + 0.0).alias("distance"))
 
 
 @query("""SELECT p_partkey, round(p_size * cos(2 * pi() * k / 12) + 3, 6) + 0.0 AS x, round(p_size * sin(2 * pi() * k / 12) - 2, 6) + 0.0 AS y, k FROM part, (SELECT unnest(range(0, 13)) AS k)""")

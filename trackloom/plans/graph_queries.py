@@ -208,13 +208,25 @@ def condense_edges(spark, sf_dir):
     return g.condense(graph, mapping)[1].select("src", "dst")
 
 
-@query()
+#: The pairs in turn: one is taken if neither end is taken yet.
+GREEDY = """g AS MATERIALIZED (SELECT a.node_id AS node1, b.node_id AS node2, sqrt((b.x0 - a.xN) ** 2 + (b.y0 - a.yN) ** 2) * (b.t0 - a.tN) AS score
+  FROM n a JOIN n b ON a.node_id <> b.node_id AND b.t0 > a.tN AND b.t0 - a.tN < 3600 AND sqrt((b.x0 - a.xN) ** 2 + (b.y0 - a.yN) ** 2) < 10),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score, node1, node2) AS k FROM g),
+w AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS a, CAST([] AS BIGINT[]) AS b UNION ALL
+  SELECT o.k, CASE WHEN list_contains(a, node1) OR list_contains(b, node2) THEN a ELSE list_append(a, node1) END, CASE WHEN list_contains(a, node1) OR list_contains(b, node2) THEN b ELSE list_append(b, node2) END FROM w JOIN o ON o.k = w.k + 1),
+p AS (SELECT unnest(a) AS node1, unnest(b) AS node2 FROM (SELECT a, b FROM w ORDER BY k DESC LIMIT 1))"""
+
+
+@query(f"WITH RECURSIVE {N_SQL}, {GREEDY} SELECT node1, node2, round(score, 6) + 0.0 AS score FROM p JOIN g USING (node1, node2)")
 def gap_greedy(spark, sf_dir):
     found = gap_candidates(tracks(spark, sf_dir), 3600, 10).select("node1", "node2", (F.col("dist") * F.col("dt")).alias("score"))
     return g.greedy_matching(found).select("node1", "node2", r6("score").alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {E_SQL}, {GREEDY}, h AS (SELECT node2 AS old, node1 AS new, 1 AS d FROM p UNION ALL SELECT h.old, p.node1, d + 1 FROM h JOIN p ON p.node2 = h.new),
+m AS (SELECT old, arg_max(new, d) AS new FROM h GROUP BY old), v AS (SELECT node_id, coalesce(new, node_id) AS head FROM n LEFT JOIN m ON old = node_id),
+f AS (SELECT DISTINCT a.head AS src, b.head AS dst FROM e JOIN v a ON a.node_id = src JOIN v b ON b.node_id = dst WHERE a.head <> b.head)
+SELECT head AS node_id, CAST(count(*) AS INT) AS n_parts, (SELECT count(*) FROM f WHERE src = head) AS n_out FROM v GROUP BY head""")
 def bridge_gaps(spark, sf_dir):
     found = gap_candidates(tracks(spark, sf_dir), 3600, 10).select("node1", "node2", (F.col("dist") * F.col("dt")).alias("score"))
     pairs = g.greedy_matching(found)

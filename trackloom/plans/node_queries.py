@@ -89,7 +89,8 @@ def age_distribution(spark, sf_dir):
     return c.age_distribution({"even": nodes.where("bid % 2 = 0"), "odd": nodes.where("bid % 2 = 1")}, 3600.0).withColumn("age", F.col("age").cast("double"))
 
 
-@query()
+@query(f"""WITH {N_SQL} SELECT a.node_id AS node1, b.node_id AS node2, concat_ws(',', a.node_id, b.node_id, a.node_id, b.node_id, printf('%.3f', sqrt((b.x0 - a.xN) ** 2 + (b.y0 - a.yN) ** 2)), printf('%.1f', b.t0 - a.tN), CAST(ceil(b.t0 - a.tN) AS BIGINT)) AS line
+FROM n a JOIN n b ON a.node_id <> b.node_id AND b.t0 > a.tN AND b.t0 - a.tN < 3600 AND sqrt((b.x0 - a.xN) ** 2 + (b.y0 - a.yN) ** 2) < 10""")
 def gap_lines(spark, sf_dir):
     found = gap_candidates(tracks(spark, sf_dir), 3600, 10)
     return c.gap_lines(found.select("node1", "node2", F.col("node1").alias("blob1"), F.col("node2").alias("blob2"), "dist", "dt", F.ceil("dt").alias("df")))

@@ -197,10 +197,11 @@ def _classified(
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = attach(banded, buckets, ["band"], ["node"]).select("hub", "node").distinct()
     lists = members.groupBy("node").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))  # one a band at most
-    members = stored(members.join(lists, "node").join(classes.select("node", "n_grams"), "node"), "members")
+    members = stored(members.join(lists, "node").join(classes.select("node", "n_grams").hint("merge"), "node"), "members")
     sizes = members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / F.lit(block_rows), F.sum("n_grams") / F.lit(block_grams))).alias("blocks"))
     placed = attach(members, sizes, ["hub"], ["node"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    texts = placed.join(sketch.select(F.col("row_id").alias("node"), "text"), "node").select("hub", "hubs", "node", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    own = sketch.select(F.col("row_id").alias("node"), "text").hint("merge")  # both sides grow with the input: never broadcast
+    texts = placed.join(own, "node").select("hub", "hubs", "node", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     pairs = texts.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "hubs", "text")
     nth = F.col("j") * (F.col("j") + 1) / 2 + F.col("i")  # the pairs of one hub go to one task after the other
     dealt = pairs.repartitionById(parts, F.pmod(F.xxhash64("hub") + nth.cast("long"), F.lit(parts)).cast("int"))
@@ -209,7 +210,7 @@ def _classified(
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     joined = connected_components(found, "node", "root")
 
-    merged = classes.select("key", "node", "copy_id", "one").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    merged = classes.select("key", "node", "copy_id", "one").hint("merge").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = merged.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.min("one").getField("row_id").alias("first"))
     named = attach(merged, first, ["component"], ["node"]).select("key", "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "first")
     return sketch, cut(named)
@@ -241,5 +242,5 @@ def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     packed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
     sketch, named = _classified(packed, **options)
     kept = named.select(F.col("first").alias("row_id")).distinct()
-    rows = sketch.where("key is not null").join(kept, "row_id", "left_semi").unionByName(sketch.where("key is null"))
+    rows = sketch.where("key is not null").join(kept.hint("merge"), "row_id", "left_semi").unionByName(sketch.where("key is null"))
     return rows.select(*[F.col("text").alias(x) if x == text_col else F.col("row").getField(x).alias(x) for x in names])

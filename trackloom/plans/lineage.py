@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_folders: list[str] = []
+#: The folders of the innermost ``scratch`` block of this thread, if there is one.
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -48,19 +50,26 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     until the shared folder is cleared: a result may be read long after the call.
     """
     folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    _folders.append(folder)
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(folder)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables that are stored inside the block at its end; what was made of them has to be written by then."""
-    before = len(_folders)
+    """Deletes the tables that this block has stored at its end; what was made of them has to be written by then.
+
+    A block owns only what is stored inside it, in its own thread: tables of other
+    threads, of blocks around it and of callers without a block stay.
+    """
+    owned: list[str] = []
+    before = _owned.set(owned)
     try:
         yield
     finally:
-        for folder in _folders[before:]:
+        _owned.reset(before)
+        for folder in owned:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        del _folders[before:]

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from trackloom.llm import bpe, quality
 from trackloom.llm.chat import conversation_digests, format_windows
 from trackloom.llm.decontamination import find_contamination
+from trackloom.llm.exact_dedup import exact_dedup
 from trackloom.llm.license_scan import scan_licenses
 from trackloom.llm.media import media_columns
 from trackloom.llm.ngram_join import near_duplicates
 from trackloom.llm.substring_dedup import dedup_digests
 from trackloom.llm.toxicity import score_toxicity
 from trackloom.llm.url_filter import with_verdicts
+from trackloom.llm.whitening import fit_whitening, whiten
 
 # The rules of op5.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -81,5 +83,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deviation is null where it doesn't fit a long."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    model = fit_whitening(rows, components=4)
+    n, explained, error = (model.n, model.explained.tolist(), model.identity_error) if model else (0, [], 0.0)
+    out = whiten(rows, model).select("vec_id", F.posexplode("whitened").alias("k", "whitened"), F.expr("try_cast(deviation AS BIGINT)").alias("deviation"))
+    share = F.element_at(F.array(*[F.lit(x) for x in explained]).cast("array<double>"), F.col("k") + 1)
+    return out.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

@@ -156,4 +156,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-SQL = {"op6_ngram_join": OP6, "op7_license_scan": OP7, "op3_chat": OP3, "op5_url_filter": OP5, "op2_decontamination": OP2, "op10_substring_dedup": OP10}
+OP13 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+SQL = {"op13_exact_dedup": OP13, "op6_ngram_join": OP6, "op7_license_scan": OP7, "op3_chat": OP3, "op5_url_filter": OP5, "op2_decontamination": OP2, "op10_substring_dedup": OP10}

@@ -12,6 +12,7 @@ from trackloom.llm import bpe, quality
 from trackloom.llm.chat import conversation_digests, format_windows
 from trackloom.llm.decontamination import find_contamination
 from trackloom.llm.exact_dedup import exact_dedup
+from trackloom.llm.hard_negatives import mine_hard_negatives
 from trackloom.llm.license_scan import scan_licenses
 from trackloom.llm.media import media_columns
 from trackloom.llm.ngram_join import near_duplicates
@@ -93,6 +94,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return mine_hard_negatives(rows, lambda i: i % 50 == 0)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 

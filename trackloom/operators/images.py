@@ -80,30 +80,42 @@ def threshold_sweep(pixels: DataFrame, ground: DataFrame, thresholds: list[float
     return levels.groupBy(image, "threshold").agg(F.count_if(F.col("drop") > F.col("threshold")).alias("pixels"))
 
 
+# Places round a cell, in order.
+RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+def ring_of(padded: np.ndarray) -> list[np.ndarray]:
+    """Views of the eight neighbours of each cell within a border of one."""
+    h, w = padded.shape
+    return [padded[1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx] for dy, dx in RING]
+
+
 def thin(mask: np.ndarray) -> np.ndarray:
     """A skeleton by parallel thinning: in turn from two sides, pixels go that have 2 to 6 neighbours and one run of them."""
     m = np.pad(mask.astype(bool), 1)
-    ring = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+    inner = m[1:-1, 1:-1]
     while True:
-        before = m.copy()
+        gone = False
         for side in (0, 1):
-            n = np.stack([np.roll(m, (-dy, -dx), (0, 1)) for dy, dx in ring])
-            count = n.sum(axis=0)
-            runs = (~n & np.roll(n, -1, axis=0)).sum(axis=0)
+            n = np.stack(ring_of(m))
+            count = n.sum(axis=0, dtype=np.uint8)
+            runs = (n[1:] & ~n[:-1]).sum(axis=0, dtype=np.uint8) + (n[0] & ~n[-1])
             up, right, down, left = n[0], n[2], n[4], n[6]
             open_ = (~(up & right & down) & ~(right & down & left)) if side == 0 else (~(up & right & left) & ~(up & down & left))
-            m &= ~(m & (count >= 2) & (count <= 6) & (runs == 1) & open_)
-        if (m == before).all():
-            return m[1:-1, 1:-1]
+            going = inner & (count >= 2) & (count <= 6) & (runs == 1) & open_
+            if going.any():
+                inner &= ~going
+                gone = True
+        if not gone:
+            return inner
 
 
 def ends_and_branches(skeleton: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(row, column) of the pixels with one run of neighbours, and of those with three or more."""
     m = np.pad(skeleton.astype(bool), 1)
-    ring = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
-    n = np.stack([np.roll(m, (-dy, -dx), (0, 1)) for dy, dx in ring])
-    runs = (~n & np.roll(n, -1, axis=0)).sum(axis=0)
-    at = lambda f: [(int(y) - 1, int(x) - 1) for y, x in np.argwhere(m & f)]
+    n = np.stack(ring_of(m))
+    runs = (n[1:] & ~n[:-1]).sum(axis=0, dtype=np.uint8) + (n[0] & ~n[-1])
+    at = lambda f: [(y, x) for y, x in np.argwhere(m[1:-1, 1:-1] & f).tolist()]
     return at(runs == 1), at(runs >= 3)
 
 

@@ -7,11 +7,14 @@ for ever needs a cut by time first (``series.tumbling_bins``).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.batches import by_group
 from trackloom.plans.lineage import cut
 
 
@@ -32,17 +35,20 @@ def savgol(df: DataFrame, column: str, width: int, order: int, key: str = "bid",
     n, i = F.count(F.lit(1)).over(Window.partitionBy(key)), F.row_number().over(w)
     first, last = F.first(column).over(w), F.last(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     df = df.withColumns({"_n": n, "_i": i, "_first": first, "_last": last})
-    around = F.collect_list(F.struct(F.col("_i").alias("i"), F.col(column).cast("double").alias("v"))).over(w.rowsBetween(-width, width))
-    df = df.withColumn("_around", F.when(F.col("_n") > half, F.map_from_entries(around)))
-    at = lambda j: F.element_at("_around", j)
+    around = F.collect_list(F.struct(F.col(column).cast("double").alias("v"))).over(w.rowsBetween(-width, width))
+    df = df.withColumn("_around", F.when(F.col("_n") > half, around))
+    begin = F.greatest(F.col("_i") - width, F.lit(1))  # the row that the first element is of
+    at = lambda j: F.get("_around", (j - begin).cast("int")).v
 
-    def value(k: int):
+    def value(k: Column):
         j = F.col("_i") + k
         low = F.col("_first") - F.abs(at(2 - j) - F.col("_first"))
         high = F.col("_last") + F.abs(at(2 * F.col("_n") - j) - F.col("_last"))
         return F.when(j < 1, low).when(j > F.col("_n"), high).otherwise(at(j))
 
-    total = sum((F.lit(c) * value(k) for k, c in zip(range(-half, half + 1), savgol_weights(width, order))), F.lit(0.0))
+    weights = F.array(*map(F.lit, savgol_weights(width, order)))
+    parts = F.zip_with(F.transform(F.sequence(F.lit(-half), F.lit(half)), value), weights, lambda v, c: c * v)
+    total = F.aggregate(parts, F.lit(0.0), lambda done, v: done + v)
     return df.withColumn("smooth", total).drop("_n", "_i", "_first", "_last", "_around")
 
 
@@ -95,13 +101,13 @@ def _kinds(df: DataFrame, keys: tuple[str, ...]) -> str:
 
 
 def hidden_states(df: DataFrame, column: str, states: int = 2, keys: tuple[str, ...] = ("bid", "segment"), by: str = "frame") -> DataFrame:
-    """keys, by, state of each row with a value."""
+    """keys, by, state of each row with a value; many tracks share a task."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_by")
-        return pdf[[*keys, "_by"]].assign(state=fit_states(pdf["_v"].to_numpy(float), states))
+    def each(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        at, values = zip(*rows)
+        return ((*key, i, int(s)) for i, s in zip(at, fit_states(np.array(values), states)))
 
-    return _by_track(df, column, keys, by).groupBy(*keys).applyInPandas(one, f"{_kinds(df, keys)}, _by long, state long").withColumnRenamed("_by", by)
+    return by_group(_by_track(df, column, keys, by), list(keys), ["_by"], each, f"{_kinds(df, keys)}, `{by}` long, state long")
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -150,52 +156,94 @@ def cut_t(x: np.ndarray, at: int) -> float:
     return gap / np.sqrt(pooled * (1 / len(a) + 1 / len(b))) if pooled > 0 else (np.inf if gap > 0 else 0.0)
 
 
-def segment(x: np.ndarray, least: int = 6, p: float = 0.05) -> list[int]:
-    """Starts of the segments: cuts where the t of the means is largest, while it and those against both neighbours stay significant."""
-    done, starts, todo = set(), [0], [0]
-    while todo:
-        low = todo.pop()
-        if low in done:
-            continue
-        done.add(low)
-        k = starts.index(low)
-        high = starts[k + 1] if k + 1 < len(starts) else len(x)
-        part = x[low:high]
-        n = len(part)
-        if n < 2 * least:
-            continue
-        cuts = np.arange(least, n - least + 1)
-        s, q = np.cumsum(part)[cuts - 1], np.cumsum(part * part)[cuts - 1]
-        total, square = part.sum(), (part * part).sum()
-        va, vb = q / cuts - (s / cuts) ** 2, (square - q) / (n - cuts) - ((total - s) / (n - cuts)) ** 2
-        pooled = np.maximum(((cuts - 1) * va + (n - cuts - 1) * vb) / (n - 2), 1e-18)
-        t = np.abs(s / cuts - (total - s) / (n - cuts)) / np.sqrt(pooled * (1 / cuts + 1 / (n - cuts)))
-        at = int(cuts[t.argmax()])
-        if t_max_p(float(t.max()), n) >= p:
-            continue
-        left = x[starts[k - 1] : low + at] if k else None
-        right = x[low + at : starts[k + 2] if k + 2 < len(starts) else len(x)] if k + 1 < len(starts) else None
-        if left is not None and t_max_p(cut_t(left, low - starts[k - 1]), len(left)) >= p:
-            continue
-        if right is not None and t_max_p(cut_t(right, high - low - at), len(right)) >= p:
-            continue
-        starts.insert(k + 1, low + at)
-        done.discard(low)
-        todo += [low, low + at]
+def best_cut(part: np.ndarray, least: int) -> tuple[int, float]:
+    """(length of the left side, t) of the cut with the largest t of the means; (0, 0) if there is none."""
+    n = len(part)
+    if n < 2 * least:
+        return 0, 0.0
+    cuts = np.arange(least, n - least + 1)
+    s, q = np.cumsum(part)[cuts - 1], np.cumsum(part * part)[cuts - 1]
+    total, square = part.sum(), (part * part).sum()
+    va, vb = q / cuts - (s / cuts) ** 2, (square - q) / (n - cuts) - ((total - s) / (n - cuts)) ** 2
+    pooled = np.maximum(((cuts - 1) * va + (n - cuts - 1) * vb) / (n - 2), 1e-18)
+    t = np.abs(s / cuts - (total - s) / (n - cuts)) / np.sqrt(pooled * (1 / cuts + 1 / (n - cuts)))
+    return int(cuts[t.argmax()]), float(t.max())
+
+
+def slopes_differ(x: np.ndarray, y: np.ndarray, at: int) -> float:
+    """How likely slopes as different as those of y on x on both sides of a cut are with one slope (analysis of covariance); 1 where a side has no spread in x."""
+    def sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        u, v = a - a.mean(), b - b.mean()
+        return np.array([(u * u).sum(), (v * v).sum(), (u * v).sum()])
+
+    left, right = sums(x[:at], y[:at]), sums(x[at:], y[at:])
+    free = len(x) - 4
+    if free < 1 or left[0] <= 0 or right[0] <= 0:
+        return 1.0
+    xx, yy, xy = left + right
+    effect = left[2] ** 2 / left[0] + right[2] ** 2 / right[0] - xy * xy / xx
+    error = yy - xy * xy / xx - effect
+    if error <= 0:
+        return 0.0 if effect > 1e-12 * max(yy, 1e-300) else 1.0
+    return beta_inc(free / 2, 0.5, free / (free + max(effect, 0.0) / error * free))
+
+
+def segment(x: np.ndarray, least: int = 6, p: float = 0.05, also: Callable[[int, int, int], bool] | None = None) -> list[int]:
+    """Starts of the segments of one level each.
+
+    A segment is cut where the t of the means is largest if that is significant
+    and, with the cut, so are the differences to both neighbours, and if
+    ``also(start, cut, end)`` holds. From the first segment on, until none can be
+    cut any more; after a cut it begins again, since neighbours have changed.
+    """
+    starts, failed, k = [0], set(), 0
+    while k < len(starts):
+        low, high = starts[k], starts[k + 1] if k + 1 < len(starts) else len(x)
+        left, right = starts[k - 1] if k else low, starts[k + 2] if k + 2 < len(starts) else len(x)
+        if (left, low, high, right) not in failed:
+            size, t = best_cut(x[low:high], least)
+            at = low + size
+            good = size > 0 and t_max_p(t, high - low) < p
+            good = good and (left == low or t_max_p(cut_t(x[left:at], low - left), at - left) < p)
+            good = good and (right == high or t_max_p(cut_t(x[at:right], high - at), right - at) < p)
+            if good and (also is None or also(low, at, high)):
+                starts.insert(k + 1, at)
+                k = 0
+                continue
+            failed.add((left, low, high, right))
+        k += 1
     return starts
 
 
 def segments(df: DataFrame, column: str, keys: tuple[str, ...] = ("bid", "segment"), by: str = "frame", least: int = 6, p: float = 0.05) -> DataFrame:
-    """keys, first and last order value, n and mean of each stretch of a track with one level."""
+    """keys, first and last order value, n and mean of each stretch of a track with one level; many tracks share a task."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_by")
-        x, by_, own = pdf["_v"].to_numpy(float), pdf["_by"].to_numpy(), [pdf[k].iloc[0] for k in keys]
+    def each(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        at, values = zip(*rows)
+        x = np.array(values)
         cuts = [*segment(x, least, p), len(x)]
-        rows = [(*own, by_[a], by_[b - 1], b - a, x[a:b].mean()) for a, b in zip(cuts, cuts[1:])]
-        return pd.DataFrame(rows, columns=[*keys, "first", "last", "n", "mean"])
+        return ((*key, at[a], at[b - 1], b - a, float(x[a:b].mean())) for a, b in zip(cuts, cuts[1:]))
+
+    return by_group(_by_track(df, column, keys, by), list(keys), ["_by"], each, f"{_kinds(df, keys)}, first long, last long, n long, mean double")
+
+
+def slope_segments(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ("bid", "segment"), by: str = "frame", least: int = 6, p: float = 0.05) -> DataFrame:
+    """keys, first and last order value, n, mean, slope: stretches of y that differ in level and in their slope on x.
+
+    As ``segments``, but a cut is taken back where both sides could have one slope.
+    slope: null for a stretch without spread in x. Rows without x or y are left out.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(by).cast("long").alias("_by"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_v"))
+
+    def each(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        at, xs, ys = (np.array(c) for c in zip(*group))
+        cuts = [*segment(ys, least, p, lambda a, c, b: slopes_differ(xs[a:b], ys[a:b], c - a) < p), len(ys)]
+        for a, b in zip(cuts, cuts[1:]):
+            u = xs[a:b] - xs[a:b].mean()
+            slope = float((u * ys[a:b]).sum() / (u * u).sum()) if (u * u).sum() > 0 else None
+            yield *key, int(at[a]), int(at[b - 1]), b - a, float(ys[a:b].mean()), slope
 
-    return _by_track(df, column, keys, by).groupBy(*keys).applyInPandas(one, f"{_kinds(df, keys)}, first long, last long, n long, mean double")
+    return by_group(rows, list(keys), ["_by"], each, f"{_kinds(df, keys)}, first long, last long, n long, mean double, slope double")
 
 
 def scattered(points: np.ndarray, mean: np.ndarray, most: int) -> np.ndarray:

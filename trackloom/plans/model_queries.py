@@ -37,6 +37,13 @@ def segmentation(spark, sf_dir):
     return models.segments(with_segments(observations(spark, sf_dir), LONG_PAUSE), "x").withColumn("mean", r6("mean"))
 
 
+@query()
+def slope_segmentation(spark, sf_dir):
+    """Stretches of all of an object's values that differ in level and in slope over time."""
+    out = models.slope_segments(observations(spark, sf_dir).withColumn("day", F.col("time") / 86400), "day", "x", keys=("bid",))
+    return out.select("bid", "first", "last", "n", r6("mean").alias("mean"), r6("slope").alias("slope"))
+
+
 @query()
 def cure(spark, sf_dir):
     return models.cure(table(spark, sf_dir, "embeddings"), "embedding", 8, "vec_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import states
+from trackloom.operators import state_fits, states
 from trackloom.plans.registry import query
 from trackloom.sources.tracks import T_SQL, observations, table
 
@@ -47,6 +47,14 @@ def estimated_states(spark, sf_dir):
     return states.estimated_states(motion(spark, sf_dir), 2, "r", "s", "a", "ar").select("state", *[(F.round(c, 6) + 0.0).alias(c) for c in states.NAMES])
 
 
+@query()
+def fitted_states(spark, sf_dir):
+    """One, two and three states fitted to each object's rows."""
+    out = state_fits.fitted_states(motion(spark, sf_dir), ("r", "s", "a", "ar"), tau=10.0, step=1.0)
+    numbers = [*states.NAMES, "weight", "entropy"]
+    return out.select("bid", "states", "state", *[(F.round(c, 5) + 0.0).alias(c) for c in numbers], F.transform("moves", lambda m: F.round(m, 5)).alias("moves"), "rounds")
+
+
 @query("SELECT r_regionkey, i, j, round((1 - f) / m + CASE WHEN i = j THEN f ELSE 0 END, 6) + 0.0 AS p FROM (SELECT r_regionkey, r_regionkey + 2 AS m, exp(-0.1 * (r_regionkey + 2) / ((r_regionkey + 1) * 10.0)) AS f FROM region), (SELECT unnest(range(0, 2)) AS i), (SELECT unnest(range(0, 2)) AS j)")
 def transition_start(spark, sf_dir):
     """The first two states of the matrices for two to six states."""

@@ -172,6 +172,51 @@ def untangle(graph: Graph, collisions: DataFrame) -> Graph:
     return condense((nodes, edges), path_heads(collisions.select(F.col("child"), F.col("parent"))))
 
 
+def relinked(graph: Graph, collisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after collisions (collision, parent, child) as ``untangle``, but an edge joins each pair and nothing is merged.
+
+    nodes has collisions: the dissolved nodes that a parent went through, sorted; empty for others.
+    """
+    nodes, edges = graph
+    gone = collisions.select("collision").distinct()
+    through = collisions.groupBy(F.col("parent").alias("node_id")).agg(F.array_sort(F.collect_set("collision")).alias("collisions"))
+    nodes = nodes.join(gone, nodes["node_id"] == gone["collision"], "left_anti").join(through, "node_id", "left")
+    left = edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti")
+    pair = F.array(F.struct(F.col("parent").alias("a"), F.col("child").alias("b")))
+    new = collisions.select(F.col("parent").alias("src"), F.col("child").alias("dst"), pair.alias("tags")).distinct()
+    both = left.unionByName(new).groupBy("src", "dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+    return nodes.withColumn("collisions", F.coalesce("collisions", F.array().cast(through.schema["collisions"].dataType))), both
+
+
+def absorbable(graph: Graph, longest: float, down: bool = True) -> DataFrame:
+    """child, parent: nodes that live at most ``longest`` frames and have one predecessor (``down``; else one successor), and that."""
+    nodes, edges = graph
+    near, away = ("dst", "src") if down else ("src", "dst")
+    short = with_degrees(nodes, edges).where((F.col("n_in" if down else "n_out") == 1) & (lifespan_f() <= longest)).select(F.col("node_id").alias(near))
+    return edges.join(short, near, "left_semi").select(F.col(near).alias("child"), F.col(away).alias("parent"))
+
+
+def assimilate(graph: Graph, longest: float) -> Graph:
+    """Short nodes join their only predecessor, until none does; then those left join their only successor.
+
+    A node that joins lives in the one it joins, with all its parts and edges, so
+    that others may have one neighbour less afterwards; what that lays bare joins
+    in the next round. In a round every node has one neighbour to join at most, and
+    chains of joining nodes go to the head of the chain: there is nothing to settle
+    between them. A node with several neighbours on that side stays.
+    """
+    graph = settle(make_graph(*graph))
+    for down in (True, False):
+        for _ in range(MAX_WALK):
+            links = cut(absorbable(graph, longest, down))
+            if links.isEmpty():
+                break
+            graph = settle(condense(graph, path_heads(links)))
+        else:
+            raise RuntimeError("no end of joining")
+    return graph
+
+
 def bridge_gaps(graph: Graph, pairs: DataFrame) -> Graph:
     """pairs (node1, node2): node1 goes on as node2, though no edge joins them; bridged nodes may be bridged on."""
     return condense(graph, path_heads(pairs.select(F.col("node2").alias("child"), F.col("node1").alias("parent"))))

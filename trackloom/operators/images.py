@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.batches import by_group
+from trackloom.operators.components import connected_components
+from trackloom.plans.lineage import stored
+
 PIXELS = "array<struct<x:int,y:int>>"
 
 
@@ -160,6 +164,73 @@ def pixel_components(pixels: DataFrame, image: str, batch_rows: int = 1) -> Data
     return pixels.select(image, "x", "y").distinct().groupBy(image).applyInPandas(one, schema)
 
 
+def tiled_components(pixels: DataFrame, image: str, tile: int = 256) -> DataFrame:
+    """image, x0, y0 (the object's first pixel by x, then y), pixels, x_min, x_max, y_min, y_max, x, y (its centre) of the four-connected objects of rows (image, x, y).
+
+    Each tile of an image finds its own objects; pixels on both sides of a tile's
+    border tell which of them are one, and components of those pairs unite them.
+    So an image is as many tasks as it has tiles, and only borders and one row an
+    object of a tile are joined.
+    """
+    kind = pixels.schema[image].dataType.simpleString()
+    cells = pixels.select(F.col(image).alias("image"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).dropna().distinct()
+    cells = cells.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+
+    def label(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        todo = set(rows)
+        for start in sorted(rows):
+            if start not in todo:
+                continue
+            stack, found = [start], [start]
+            todo.discard(start)
+            while stack:
+                x, y = stack.pop()
+                for q in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                    if q in todo:
+                        todo.discard(q)
+                        stack.append(q)
+                        found.append(q)
+            for x, y in found:
+                yield key[0], x, y, *start
+
+    parts = stored(by_group(cells, ["image", "tx", "ty"], ["x", "y"], label, f"image {kind}, x int, y int, lx int, ly int"), "labels")
+    name = F.struct("image", "lx", "ly")
+    pairs = None
+    for axis in ("x", "y"):
+        at = F.col(axis)
+        last = parts.where(F.pmod(at, F.lit(tile)) == tile - 1).withColumn(axis, at + 1).select("image", "x", "y", name.alias("src"))
+        first = parts.where(F.pmod(at, F.lit(tile)) == 0).select("image", "x", "y", name.alias("dst"))
+        met = last.join(first, ["image", "x", "y"]).select("src", "dst")
+        pairs = met if pairs is None else pairs.union(met)
+    united = connected_components(pairs)
+    own = parts.groupBy("image", "lx", "ly").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max), ("sum", F.sum))])
+    whole = own.withColumn("node", name).join(united, "node", "left").withColumn("object", F.coalesce("component", "node"))
+    ends = [f(f"{c}_{n}").alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))]
+    out = whole.groupBy("object").agg(F.sum("n").alias("pixels"), *ends, *[(F.sum(f"{c}_sum") / F.sum("n")).alias(c) for c in ("x", "y")])
+    return out.select(F.col("object.image").alias(image), F.col("object.lx").alias("x0"), F.col("object.ly").alias("y0"), "pixels", "x_min", "x_max", "y_min", "y_max", "x", "y")
+
+
+def scan_matches(objects: DataFrame, tracked: DataFrame, image: str, near: float) -> DataFrame:
+    """image, true_pos, false_neg, false_pos, joined: how the objects in an image (rows image, x, y) and the tracked ones (image, bid, x, y) agree.
+
+    A tracked object goes to the nearest object within ``near`` (of equally near
+    ones to the smaller x, then y); true_pos: tracked ones with an object,
+    false_neg: objects without one, false_pos: tracked ones without, joined:
+    objects that several tracked ones share. Both are put on cells as long as
+    ``near``: an equi-join.
+    """
+    cell = lambda c, k=0: F.floor(F.col(c) / near) + k
+    around = F.explode(F.array(*[F.struct((cell("x", i)).alias("cx"), (cell("y", j)).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    there = objects.select(image, F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy")).distinct()
+    looked = tracked.select(image, "bid", "x", "y", around.alias("c")).select(image, "bid", "x", "y", "c.cx", "c.cy")
+    away = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
+    close = looked.join(there, [image, "cx", "cy"]).withColumn("away", away).where(F.col("away") <= near)
+    best = close.groupBy(image, "bid").agg(F.min(F.struct("away", "ox", "oy")).alias("m"))
+    taken = best.groupBy(image, "m.ox", "m.oy").agg(F.count("*").alias("n")).groupBy(image).agg(F.count("*").alias("found"), F.sum("n").alias("true_pos"), F.count_if(F.col("n") > 1).alias("joined"))
+    sizes = objects.groupBy(image).agg(F.count("*").alias("objects")).join(tracked.groupBy(image).agg(F.count("*").alias("blobs")), image, "full").join(taken, image, "left").na.fill(0)
+    return sizes.select(image, "true_pos", (F.col("objects") - F.col("found")).alias("false_neg"), (F.col("blobs") - F.col("true_pos")).alias("false_pos"), "joined")
+
+
 def rows_of(array: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(x, y, value) of an image."""
     for (y, x), v in np.ndenumerate(array):

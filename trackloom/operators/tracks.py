@@ -132,3 +132,17 @@ def loss_reasons(ends: DataFrame, edge: float, far: float, horizon: float) -> Da
         "reason",
         F.when(F.col("tN") >= horizon, "timing").when((F.col("xN") >= far), "outside-roi").when(F.col("joins"), "join").when(F.col("splits"), "split").when((F.col("xN") < edge) | (F.col("yN") < edge), "on_edge").otherwise("unknown"),
     )
+
+
+def taped(tracks: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row for each chain of tracks that gaps were bridged between (heads: old, new): node_id (the chain's first), segments (its tracks by time), t0, tN, duration, n, and the median area of the tracks' medians."""
+    named = tracks.join(heads.select(F.col("old").alias("node_id"), F.col("new").alias("head")), "node_id", "left").withColumn("head", F.coalesce("head", "node_id"))
+    parts = F.array_sort(F.collect_list(F.struct("t0", "node_id"))).getField("node_id")
+    out = named.groupBy("head").agg(parts.alias("segments"), F.min("t0").alias("t0"), F.max("tN").alias("tN"), F.sum("n").alias("n"), F.median("area_median").alias("area_median"))
+    return out.select(F.col("head").alias("node_id"), "segments", "t0", "tN", (F.col("tN") - F.col("t0")).alias("duration"), "n", "area_median")
+
+
+def life_steps(tracks: DataFrame, body_lengths: str, least: float = 1.0) -> DataFrame:
+    """node_id, body lengths, t0, tN, lifespan and mid in minutes of the tracks that moved ``least`` body lengths at least."""
+    t0, end = F.col("t0") / 60, F.col("tN") / 60
+    return tracks.where(F.col(body_lengths) >= least).select("node_id", body_lengths, t0.alias("t0"), end.alias("tN"), (end - t0).alias("lifespan"), ((t0 + end) / 2).alias("mid"))

@@ -114,3 +114,26 @@ def test_empty(spark):
     none = (graph[0].limit(0), graph[1].limit(0))
     assert g.contract_chains(none)[0].count() == 0
     assert g.remove_split_joins(none)[1].count() == 0
+
+
+PAIRS = "collision long, parent long, child long"
+
+
+def test_collisions_are_dissolved_inside_solve(spark):
+    graph = build(spark, [1, 3, 4], [2, 3, 5], [4, 6, 7], [5, 6, 8], life=lambda n: 50)
+    pairs = spark.createDataFrame([(3, 1, 5), (3, 2, 4), (6, 4, 7), (6, 5, 8), (9, 1, 2), (3, 77, 4)], PAIRS)
+    out = g.solve(graph, 5, 0.25, 1, collisions=pairs)
+    assert {r.node_id: r.components for r in out[0].collect()} == {1: [1, 5, 8], 2: [2, 4, 7]} and edges(out) == []
+    assert components(g.solve(graph, 5, 0.25, 1), 1) == [1]
+
+
+def test_collisions_side_by_side_and_half_known_ones(spark):
+    graph = build(spark, [1, 3, 4, 5], [2, 3, 9], [8, 4, 6], life=lambda n: 50)
+    pairs = spark.createDataFrame([(3, 1, 4), (3, 2, 9), (4, 3, 5), (4, 8, 6)], PAIRS)
+    first = g.resolved_collisions(graph, pairs).collect()
+    assert sorted(tuple(r) for r in first) == [(3, 1, 4), (3, 2, 9)]
+    out = g.untangle_all(graph, pairs)
+    assert sorted(r.node_id for r in out[0].collect()) == [1, 2, 5, 6, 8] and edges(out) == [(1, 5), (1, 6), (8, 1)]
+    half = spark.createDataFrame([(3, 1, 4), (4, 3, 5), (4, 3, 6)], PAIRS)
+    assert edges(g.untangle_all(graph, half)) == edges(graph)
+    assert g.resolved_collisions(graph, spark.createDataFrame([], PAIRS)).collect() == []

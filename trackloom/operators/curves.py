@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.geometry import FIRST_CHARACTER
 from trackloom.operators.batches import along_sorted
 from trackloom.operators.models import savgol
 from trackloom.operators.series import interpolate_grid
@@ -40,6 +41,23 @@ def spaced(df: DataFrame, n: int | None = None, keys: tuple[str, ...] = ("bid",)
     return made.select(*keys, F.col("place").alias(place), value("x").alias("x"), value("y").alias("y"))
 
 
+def outline_points(df: DataFrame, key: str, x: str = "x", y: str = "y", n: str = "n", code: str = "code") -> DataFrame:
+    """key, place, x, y: the points of outline codes as rows, the start (place 0) and one for each of the first n steps.
+
+    The steps are rows and the places running sums over them, so the work grows
+    with the length of a code. Codes with a null part have no rows.
+    """
+    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(n).isNotNull() & F.col(code).isNotNull())
+    letters = whole.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(n).alias("_m"), F.posexplode(F.split(F.col(code), "")).alias("_c", "_char")).where("_char != ''")
+    bits = F.ascii("_char") - FIRST_CHARACTER
+    three = F.array(*[F.shiftright(bits, s).bitwiseAND(F.lit(3)) for s in (4, 2, 0)])
+    steps = letters.select(key, "_x", "_y", "_m", "_c", F.posexplode(three).alias("_k", "_s")).withColumn("place", 3 * F.col("_c") + F.col("_k") + 1).where("place <= _m")
+    dx, dy = F.when(F.col("_s") == 0, -1).when(F.col("_s") == 1, 1).otherwise(0), F.when(F.col("_s") == 2, -1).when(F.col("_s") == 3, 1).otherwise(0)
+    w = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    moved = steps.select(key, "place", (F.col("_x") + F.sum(dx).over(w)).alias("x"), (F.col("_y") + F.sum(dy).over(w)).alias("y"))
+    return whole.select(key, F.lit(0).alias("place"), F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).union(moved)
+
+
 def smoothed(df: DataFrame, width: int, order: int, keys: tuple[str, ...] = ("bid",), by: str = "place") -> DataFrame:
     """x, y by a Savitzky-Golay filter of ``width`` rows along ``by`` within ``keys``."""
     out = df.withColumn("_key", F.struct(*keys))

@@ -40,17 +40,21 @@ def wall_points(df: DataFrame, kernel: int = 30, reach: int = 300, step: int = 1
     size = df.groupBy(image).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     rows = dark.join(size, image).withColumns({"cx": F.floor(F.col("w") / 2).cast("int"), "cy": F.floor(F.col("h") / 2).cast("int")})
 
-    def hits(side: str, along: str, across: str, ahead: bool) -> DataFrame:
-        middle, off = F.col(f"c{along}"), F.col(across) - F.col(f"c{across}")
-        rays = rows.where((off >= -reach) & (off < reach) & (F.pmod(off + reach, F.lit(step)) == 0))
-        edge = (F.col("w" if along == "x" else "h") - 1) if ahead else F.lit(0)
-        at = F.col(along)
-        first = F.min(F.when(F.col("dark") & (at >= middle), at)) if ahead else F.max(F.when(F.col("dark") & (at <= middle), at))
-        found = rays.groupBy(image, across, edge.alias("edge")).agg(first.alias("hit")).withColumn(along, F.coalesce("hit", "edge"))
-        return found.select(image, F.lit(side).alias("side"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-
-    parts = [hits("left", "x", "y", False), hits("right", "x", "y", True), hits("top", "y", "x", False), hits("bottom", "y", "x", True)]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    ray = lambda c: (F.col(c) - F.col(f"c{c}") >= -reach) & (F.col(c) - F.col(f"c{c}") < reach) & (F.pmod(F.col(c) - F.col(f"c{c}") + reach, F.lit(step)) == 0)
+
+    def seen(side: str, along: str, across: str, ahead: bool) -> Column:
+        """A pixel's part in the ray of its row or column: how far from the middle it is, if it is dark and on that side."""
+        away = (F.col(along) - F.col(f"c{along}")) if ahead else (F.col(f"c{along}") - F.col(along))
+        edge = (F.col("w" if along == "x" else "h") - 1 - F.col(f"c{along}")) if ahead else F.col(f"c{along}")
+        fields = F.struct(F.lit(side).alias("side"), F.col(across).cast("int").alias("ray"), F.col(f"c{along}").alias("middle"), edge.cast("int").alias("edge"), F.when(F.col("dark") & (away >= 0), away.cast("int")).alias("away"))
+        return F.when(ray(across), fields)
+
+    parts = [seen("left", "x", "y", False), seen("right", "x", "y", True), seen("top", "y", "x", False), seen("bottom", "y", "x", True)]
+    met = rows.select(image, F.explode(F.array_compact(F.array(*parts))).alias("p")).groupBy(image, "p.side", "p.ray", "p.middle", "p.edge").agg(F.min("p.away").alias("away"))
+    far = F.coalesce("away", "edge")
+    at = F.when(F.col("side").isin("left", "top"), F.col("middle") - far).otherwise(F.col("middle") + far)
+    level = F.col("side").isin("left", "right")
+    return met.select(image, "side", F.when(level, at).otherwise(F.col("ray")).cast("double").alias("x"), F.when(level, F.col("ray")).otherwise(at).cast("double").alias("y"))
 
 
 def wall_lines(points: DataFrame, image: str = "image") -> DataFrame:

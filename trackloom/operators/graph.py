@@ -346,12 +346,55 @@ def open_pairs(graph: Graph, gaps: DataFrame) -> DataFrame:
     return found.groupBy(F.col("a").alias("node1"), F.col("b").alias("node2")).agg(F.min("score").alias("score"))
 
 
-def solve(graph: Graph, longest_split: float, relative_split: float, longest_offshoot: float, gaps: DataFrame | None = None, max_rounds: int = 100) -> Graph:
-    """``simplify``, then bridges over ``gaps`` (node1, node2, score of original ids; the least scores first), until neither nodes nor edges get fewer."""
+def resolved_collisions(graph: Graph, pairs: DataFrame) -> DataFrame:
+    """collision, parent, child, by today's ids, of the collisions that can be dissolved now.
+
+    pairs: (collision, parent, child) of original ids, two of a collision. A pair
+    stands for the nodes that its parts are in. A collision is dissolved if its
+    node has two predecessors and two successors, which its pairs link one to one,
+    and no other such collision is beside it (of neighbours only the one with the
+    smallest id goes in this turn).
+    """
+    nodes, edges = graph
+    parts = cut(nodes.select(F.explode("components").alias("part"), "node_id"))
+    named = pairs.select("collision", "parent", "child")
+    for c in ("collision", "parent", "child"):
+        named = named.join(parts.select(F.col("part").alias(c), F.col("node_id").alias(f"_{c}")), c).drop(c)
+    named = named.toDF("collision", "parent", "child").distinct()
+    named = named.join(edges.select(F.col("src").alias("parent"), F.col("dst").alias("collision")), ["parent", "collision"], "left_semi").join(edges.select(F.col("src").alias("collision"), F.col("dst").alias("child")), ["collision", "child"], "left_semi")
+    two = with_degrees(nodes, edges).where("n_in = 2 and n_out = 2").select(F.col("node_id").alias("collision"))
+    whole = named.groupBy("collision").agg(F.count("*").alias("n"), F.countDistinct("parent").alias("p"), F.countDistinct("child").alias("c")).where("n = 2 and p = 2 and c = 2").select("collision")
+    ready = cut(whole.join(two, "collision", "left_semi"))
+    near = edges.join(ready.toDF("src"), "src", "left_semi").join(ready.toDF("dst"), "dst", "left_semi")
+    later = near.select(F.greatest("src", "dst").alias("collision")).distinct()
+    return named.join(ready, "collision", "left_semi").join(later, "collision", "left_anti").select("collision", "parent", "child")
+
+
+def untangle_all(graph: Graph, pairs: DataFrame) -> Graph:
+    """Collisions dissolved turn by turn, until none of ``pairs`` can be; of pairs with one child or one parent in a turn those of the smallest collision go first."""
+    for _ in range(MAX_WALK):
+        found = cut(resolved_collisions(graph, pairs))
+        if found.isEmpty():
+            return graph
+        first = lambda c: found.groupBy(c).agg(F.min("collision").alias("low"))  # noqa: B023, E731
+        late = found.join(first("parent"), "parent").where("collision > low").select("collision").union(found.join(first("child"), "child").where("collision > low").select("collision")).distinct()
+        graph = settle(untangle(graph, cut(found.join(late, "collision", "left_anti"))))
+    raise RuntimeError("no end of collisions")
+
+
+def solve(graph: Graph, longest_split: float, relative_split: float, longest_offshoot: float, gaps: DataFrame | None = None, collisions: DataFrame | None = None, max_rounds: int = 100) -> Graph:
+    """``simplify``, then collisions and gaps, until neither nodes nor edges get fewer.
+
+    collisions: (collision, parent, child) of original ids, dissolved where that
+    can be; gaps: (node1, node2, score) of original ids, bridged with the least
+    scores first.
+    """
     graph = settle(make_graph(*graph))
     size = (graph[0].count(), graph[1].count())
     for _ in range(max_rounds):
         graph = simplify(graph, longest_split, relative_split, longest_offshoot)
+        if collisions is not None:
+            graph = untangle_all(graph, collisions)
         if gaps is not None:
             pairs = greedy_matching(open_pairs(graph, gaps))
             graph = graph if pairs.isEmpty() else settle(bridge_gaps(graph, pairs))

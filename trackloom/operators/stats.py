@@ -48,10 +48,30 @@ def ks_two_sample(df: DataFrame, value: str, is_first: Column, width: float) ->
     return run.groupBy("n1", "n2").agg(F.max(F.abs(F.try_divide(F.col("run_a"), F.col("n1")) - F.try_divide(F.col("run_b"), F.col("n2")))).alias("ks"))
 
 
+MOST_COLUMNS = 24  # samples whose counts are columns
+
+
 def ks_all_pairs(df: DataFrame, value: str, sample: str, width: float) -> DataFrame:
-    """one, two, ks for each pair of samples. There are few samples: each value gets a row for every one."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"), F.col(sample).alias("sample")).agg(F.count("*").alias("c"))
+    """one, two, ks for each pair of samples.
+
+    Up to ``MOST_COLUMNS`` samples are columns: one running total of all of them
+    and one aggregate. Beyond that each value gets a row for every sample.
+    """
+    counts = df.where(F.col(value).isNotNull() & F.col(sample).isNotNull()).groupBy(F.col(value).alias("v"), F.col(sample).alias("sample")).agg(F.count("*").alias("c"))
     names = counts.select("sample").distinct()
+    found = sorted(r[0] for r in names.limit(MOST_COLUMNS + 1).collect())
+    if len(found) <= MOST_COLUMNS:
+        cells = [f"c{k}" for k in range(len(found))]
+        wide = counts.groupBy("v").agg(*[F.sum(F.when(F.col("sample") == n, F.col("c")).otherwise(0)).alias(c) for n, c in zip(found, cells)]) if found else counts.select("v").limit(0)
+        totals = wide.agg(*[F.sum(c).alias(f"n_{c}") for c in cells]).first() if found else ()
+        share = [F.col(f"run_{c}") / n for c, n in zip(cells, totals)]
+        pairs = [(i, j) for i in range(len(found)) for j in range(i + 1, len(found))]
+        if not pairs:
+            kind = df.schema[sample].dataType
+            return names.select(F.col("sample").cast(kind).alias("one"), F.col("sample").cast(kind).alias("two"), F.lit(0.0).alias("ks")).limit(0)
+        far = running_totals(wide, "v", cells, width).agg(*[F.max(F.abs(share[i] - share[j])).alias(f"k{i}_{j}") for i, j in pairs])
+        rows = F.array(*[F.struct(F.lit(found[i]).alias("one"), F.lit(found[j]).alias("two"), F.col(f"k{i}_{j}").alias("ks")) for i, j in pairs])
+        return far.select(F.explode(rows).alias("p")).select("p.*")
     grid = counts.select("v").distinct().crossJoin(names).join(counts, ["v", "sample"], "left").na.fill(0, ["c"])
     cdf = running_totals(grid, "v", ["c"], width, ["sample"]).join(counts.groupBy("sample").agg(F.sum("c").alias("n")), "sample").select("v", "sample", (F.col("run_c") / F.col("n")).alias("p"))
     a, b = cdf.toDF("v", "one", "p1"), cdf.toDF("v", "two", "p2")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import flags
 from trackloom.plans.registry import query
 from trackloom.plans.stat_queries import _paths
-from trackloom.sources.tracks import T_SQL, observations, table
+from trackloom.sources.tracks import S_SQL, T_SQL, observations, table
 
 r6 = lambda c: F.round(c, 6) + 0.0
 
@@ -37,7 +37,11 @@ def window_smooth(spark, sf_dir):
     return flags.window_smooth(observations(spark, sf_dir), "x", "hann", 7).select("bid", "frame", r6("smooth").alias("smooth"))
 
 
-@query()
+@query(f"""WITH {S_SQL}, r AS (SELECT *, sum(d) OVER (PARTITION BY bid, segment ORDER BY frame) AS run, sum(d) OVER (PARTITION BY bid, segment) AS total FROM (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS d FROM s WINDOW w AS (PARTITION BY bid, segment ORDER BY frame))),
+k AS (SELECT bid, segment, i AS place, CASE WHEN i = 10 THEN total ELSE total * i / 10 END AS target FROM (SELECT bid, segment, max(run) AS total FROM r GROUP BY bid, segment HAVING max(run) > 0), unnest(range(11)) AS q(i)),
+g AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(run) OVER w AS run2 FROM r WINDOW w AS (PARTITION BY bid, segment ORDER BY frame)),
+a AS (SELECT k.*, g.x, g.y, g.run, g.x2, g.y2, g.run2 FROM k JOIN g ON k.bid = g.bid AND k.segment = g.segment AND k.target >= g.run AND (k.target < g.run2 OR g.run2 IS NULL))
+SELECT bid, CAST(segment AS BIGINT) AS segment, CAST(place AS INT) AS place, round(CASE WHEN x2 IS NULL THEN x ELSE x + (target - run) / (run2 - run) * (x2 - x) END, 6) + 0.0 AS x, round(CASE WHEN y2 IS NULL THEN y ELSE y + (target - run) / (run2 - run) * (y2 - y) END, 6) + 0.0 AS y FROM a""")
 def resampled_paths(spark, sf_dir):
     out = _paths(spark, sf_dir).select("bid", "segment", flags.resample(F.col("points"), 11).alias("points")).where("points is not null")
     return out.select("bid", "segment", F.posexplode("points").alias("place", "p")).select("bid", "segment", "place", r6("p.x").alias("x"), r6("p.y").alias("y"))

@@ -147,7 +147,17 @@ def split_parts(spark, sf_dir):
     return sinks.split_parts(observations(spark, sf_dir), 4, "bid", "frame").select("bid", "frame", "part")
 
 
-@query()
+#: Two-in-two-out tracks with none beside them: the smaller parent and child, the larger parent and child; of pairs with one child the smallest.
+UNTANGLED = """d_ AS (SELECT node_id, (SELECT count(*) FROM e WHERE dst = node_id) AS n_in, (SELECT count(*) FROM e WHERE src = node_id) AS n_out FROM n),
+two AS (SELECT node_id FROM d_ WHERE n_in = 2 AND n_out = 2), iso AS (SELECT node_id FROM two WHERE node_id NOT IN (SELECT src FROM e WHERE dst IN (SELECT node_id FROM two)) AND node_id NOT IN (SELECT dst FROM e WHERE src IN (SELECT node_id FROM two))),
+pr AS (SELECT i.node_id AS collision, (SELECT min(src) FROM e WHERE dst = i.node_id) AS parent, (SELECT min(dst) FROM e WHERE src = i.node_id) AS child FROM iso i UNION ALL SELECT i.node_id, (SELECT max(src) FROM e WHERE dst = i.node_id), (SELECT max(dst) FROM e WHERE src = i.node_id) FROM iso i),
+once AS (SELECT child, (min((collision, parent)))[2] AS parent FROM pr GROUP BY child), gone AS (SELECT DISTINCT q.collision FROM (SELECT child, min((collision, parent)) AS m FROM pr GROUP BY child) o JOIN pr q ON q.child = o.child AND (q.collision, q.parent) = o.m),
+h AS (SELECT child AS old, parent AS new, 1 AS d FROM once UNION ALL SELECT h.old, o.parent, d + 1 FROM h JOIN once o ON o.child = h.new),
+m AS (SELECT old, arg_max(new, d) AS new FROM h GROUP BY old), v AS (SELECT node_id, coalesce(new, node_id) AS head FROM n LEFT JOIN m ON old = node_id WHERE node_id NOT IN (SELECT collision FROM gone)),
+f AS (SELECT DISTINCT a.head AS src, b.head AS dst FROM e JOIN v a ON a.node_id = src JOIN v b ON b.node_id = dst WHERE a.head <> b.head)"""
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {UNTANGLED} SELECT head AS node_id, CAST(count(*) AS INT) AS n_parts, (SELECT count(*) FROM f WHERE dst = head) AS n_in, (SELECT count(*) FROM f WHERE src = head) AS n_out FROM v GROUP BY head")
 def untangled(spark, sf_dir):
     """Two-in-two-out tracks dissolved: the smaller parent goes on as the smaller child, the larger as the larger."""
     nodes, edges = graph = g.settle(session_graph(spark, sf_dir))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import curves, models, spines, unzip
 from trackloom.plans.registry import query
+from trackloom.plans.stat_queries import OUTLINE_SQL
 from trackloom.sources.shapes import P_SQL, crossings, poses
-from trackloom.sources.tracks import T_SQL, observations
+from trackloom.sources.tracks import T_SQL, observations, table
 
 r6 = lambda c: F.round(c, 6) + 0.0
 
@@ -40,6 +41,15 @@ def unzipped_pairs(spark, sf_dir):
     return unzip.untangling(found, ids(0), ids(2))
 
 
+@query(f"""WITH {OUTLINE_SQL}, z AS (SELECT doc_id, x, y FROM xy UNION ALL SELECT doc_id, 0, 0 FROM c WHERE code <> '') SELECT doc_id, count(*) AS points, CAST(sum(x) AS BIGINT) AS xs, CAST(sum(y) AS BIGINT) AS ys, CAST(sum(x * x + y * y) AS BIGINT) AS squares FROM z GROUP BY doc_id""")
+def outline_points(spark, sf_dir):
+    """All points of the texts read as outline codes, by their sums."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^0-o]", "").alias("code")).where("code != ''")
+    rows = docs.select("doc_id", F.lit(0).alias("x"), F.lit(0).alias("y"), (3 * F.length("code")).alias("n"), "code")
+    found = curves.outline_points(rows, "doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("points"), F.sum("x").alias("xs"), F.sum("y").alias("ys"), F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("squares"))
+
+
 @query(f"""WITH {P_SQL}, b AS (SELECT bid, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM o_ GROUP BY bid)
 SELECT bid, frame, place, CAST(x - x0 + 1 AS INT) AS x, CAST(y - y0 + 1 AS INT) AS y, CAST(x1 - x0 + 3 AS INT) AS width, CAST(y1 - y0 + 3 AS INT) AS height FROM o_ JOIN b USING (bid)""")
 def aligned_outlines(spark, sf_dir):

@@ -371,13 +371,14 @@ def resolved_collisions(graph: Graph, pairs: DataFrame) -> DataFrame:
 
 
 def untangle_all(graph: Graph, pairs: DataFrame) -> Graph:
-    """Collisions dissolved turn by turn, until none of ``pairs`` can be; of pairs with one child or one parent in a turn those of the smallest collision go first."""
+    """Collisions dissolved turn by turn, until none of ``pairs`` can be; of pairs with one child or one parent in a turn those of the collision with the smallest hash go first."""
     for _ in range(MAX_WALK):
         found = cut(resolved_collisions(graph, pairs))
         if found.isEmpty():
             return graph
-        first = lambda c: found.groupBy(c).agg(F.min("collision").alias("low"))  # noqa: B023, E731
-        late = found.join(first("parent"), "parent").where("collision > low").select("collision").union(found.join(first("child"), "child").where("collision > low").select("collision")).distinct()
+        turn = F.struct(F.xxhash64("collision").alias("hash"), "collision")  # in no order along chains of collisions: few turns
+        first = lambda c: found.groupBy(c).agg(F.min(turn).alias("first"))  # noqa: B023, E731
+        late = found.join(first("parent"), "parent").where(turn > F.col("first")).select("collision").union(found.join(first("child"), "child").where(turn > F.col("first")).select("collision")).distinct()
         graph = settle(untangle(graph, cut(found.join(late, "collision", "left_anti"))))
     raise RuntimeError("no end of collisions")
 

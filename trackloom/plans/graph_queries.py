@@ -253,12 +253,11 @@ def solve_with_gaps(spark, sf_dir):
 
 
 @query()
-def solve_with_collisions(spark, sf_dir):
-    """All steps, with gaps bridged and collisions dissolved: the smaller parent goes on as the smaller child, the larger as the larger."""
+def dissolved_collisions(spark, sf_dir):
+    """Two-in-two-out tracks dissolved turn by turn: the smaller parent goes on as the smaller child, the larger as the larger."""
     nodes, edges = graph = g.settle(session_graph(spark, sf_dir))
     two = g.with_degrees(*graph).where("n_in = 2 and n_out = 2").select("node_id")
     ends = lambda at, other, names: edges.join(two, edges[at] == two["node_id"]).groupBy("node_id").agg(F.min(other).alias(names[0]), F.max(other).alias(names[1]))
     both = ends("dst", "src", ("p0", "p1")).join(ends("src", "dst", ("c0", "c1")), "node_id")
     pair = lambda k: both.select(F.col("node_id").alias("collision"), F.col(f"p{k}").alias("parent"), F.col(f"c{k}").alias("child"))
-    gaps = gap_candidates(tracks(spark, sf_dir), 3600, 10).select("node1", "node2", (F.col("dist") * F.col("dt")).alias("score"))
-    return _flat(g.solve(graph, 5, 0.25, 1, gaps=gaps, collisions=pair(0).union(pair(1))))
+    return _flat(g.untangle_all(graph, pair(0).union(pair(1))))

@@ -37,7 +37,7 @@ SCALE = 12.0
 BIAS = 0
 
 
-def _shape(buf: bytes, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _shape(buf: bytes, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(buf, dtype=np.uint8)
     upper = np.concatenate([[0], np.cumsum((raw >= 65) & (raw <= 90))])
     letter = np.concatenate([[0], np.cumsum(((raw | 32) >= 97) & ((raw | 32) <= 122) | (raw >= 128))])
@@ -49,6 +49,7 @@ def _shape(buf: bytes, starts: np.ndarray, ends: np.ndarray, words: np.ndarray)
     last = np.where((raw[ends - 1] | 32 >= 97) & (raw[ends - 1] | 32 <= 122) | (raw[ends - 1] >= 128), 0, raw[ends - 1].astype(np.int64))
     again = np.zeros(len(words), dtype=np.int64)
     again[1:] = words[1:] == words[:-1]
+    again[bounds[:-1][bounds[:-1] < len(words)]] = 0  # a text's first word repeats none
     length = np.minimum(np.log2(size).astype(np.int64), 7)
     code = ((((again * 8 + length) * 4 + case) * 4 + n_other) * 2 + (n_digit > 0)) * 256 + last
     return mix(code.astype(np.uint64) + np.uint64(1))
@@ -60,7 +61,7 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     if not len(starts):
         return [(np.zeros(0, dtype=np.int64), bounds)] * 5
     words = hash_spans(buf.lower(), starts, ends)
-    shapes = _shape(buf, starts, ends, words)
+    shapes = _shape(buf, starts, ends, words, bounds)
     out = []
     for kind, (hashes, n) in enumerate(((words, 1), (words, 2), (shapes, 1), (shapes, 2), (shapes, 3))):
         grams = ngram_hashes(hashes, n)

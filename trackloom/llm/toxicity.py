@@ -59,7 +59,8 @@ LEET_COST, KEEP_COST, DOUBLE_COST, SINGLE_COST, GAP_COST = 0.7, 6.0, 0.5, 1.0, 3
 def _count_symbols(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(LETTERS**4, dtype=np.int64)
     for _, texts in sliced(batches):
-        s = SYMBOL[np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)]
+        raw = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
+        s = SYMBOL[raw[(raw & 0xC0) != 0x80]]  # one symbol a character, as lattices have
         s = s[np.concatenate([[True], (s[1:] != SPACE) | (s[:-1] != SPACE)])].astype(np.int32)
         if len(s) > 3:
             counts += np.bincount(((s[:-3] * LETTERS + s[1:-2]) * LETTERS + s[2:-1]) * LETTERS + s[3:], minlength=LETTERS**4)

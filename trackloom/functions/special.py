@@ -1,6 +1,8 @@
 """Special functions as column expressions: log-gamma, incomplete gamma and beta, the normal distribution.
 
-Each is a fixed number of terms folded inside the row, so it stays in the JVM.
+Each is a number of terms folded inside the row, so it stays in the JVM. Series
+and fractions converge in some square roots of their greatest argument, so that
+decides the number.
 Arguments outside a function's domain give null, and so do nulls.
 """
 
@@ -11,7 +13,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TERMS = 160
 TINY = 1e-300
 #: Of Stirling's series: B(2k) / (2k (2k - 1)) for k = 1, 2, ...
 STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
@@ -31,14 +32,15 @@ def log_gamma(z: Column) -> Column:
     return F.when(z > 0, series - F.log(steps))
 
 
-def _terms():
-    return F.sequence(F.lit(1), F.lit(TERMS))
+def _terms(largest: Column, least: int, by_root: int) -> Column:
+    """1, 2, ...: as many terms as arguments up to ``largest`` need."""
+    return F.sequence(F.lit(1), (least + by_root * F.ceil(F.sqrt(F.coalesce(F.greatest(largest, F.lit(0.0)), F.lit(0.0))))).cast("int"))
 
 
 def gamma_p_series(a: Column, x: Column) -> Column:
     """The lower incomplete gamma function, regularised, by its power series; for x < a + 1."""
     one = F.lit(1.0) / a
-    state = F.aggregate(_terms(), F.struct(one.alias("sum"), one.alias("term")), lambda s, n: F.struct((s.sum + s.term * x / (a + n)).alias("sum"), (s.term * x / (a + n)).alias("term")))
+    state = F.aggregate(_terms(a, 40, 9), F.struct(one.alias("sum"), one.alias("term")), lambda s, n: F.struct((s.sum + s.term * x / (a + n)).alias("sum"), (s.term * x / (a + n)).alias("term")))
     return F.when(x == 0, 0.0).otherwise(state.sum * F.exp(-x + a * F.log(x) - log_gamma(a)))
 
 
@@ -52,7 +54,7 @@ def gamma_q_fraction(a: Column, x: Column) -> Column:
         d, c = 1.0 / (an * s.d + b), b + an / s.c
         return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (s.h * d * c).alias("h"))
 
-    return F.aggregate(_terms(), start, step).h * F.exp(-x + a * F.log(x) - log_gamma(a))
+    return F.aggregate(_terms(a, 80, 4), start, step).h * F.exp(-x + a * F.log(x) - log_gamma(a))
 
 
 def gamma_p(a: Column, x: Column) -> Column:
@@ -93,7 +95,7 @@ def beta_i(a: Column, b: Column, x: Column) -> Column:
             return F.struct(c.alias("c"), d.alias("d"), (s.h * d * c).alias("h"))
 
         even = F.aggregate(  # both halves of a step, one after the other
-            F.flatten(F.transform(_terms(), lambda m: F.array(m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m)), -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))))),
+            F.flatten(F.transform(_terms(F.greatest(a, b), 40, 4), lambda m: F.array(m * (b - m) * x / ((a + 2.0 * m - 1.0) * (a + 2.0 * m)), -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))))),
             start, half,
         )
         return even.h

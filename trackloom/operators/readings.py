@@ -140,7 +140,7 @@ def write_matrix(df: DataFrame, values: str, path: str) -> None:
 
 
 def datasets(spark, path: str) -> DataFrame:
-    """file, size, changed of the files below a folder, without reading them."""
+    """file, size, changed of the files below a folder, without reading them; Spark's reader leaves out empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
 

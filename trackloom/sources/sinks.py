@@ -36,6 +36,14 @@ def lost_and_found(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return born.unionAll(died)
 
 
+def lost_and_found_known(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``lost_and_found`` where nodes have n_in and n_out and edges src_died_f, the end of their source: the edges pass through, joined with nothing."""
+    zero = F.lit(0).cast("long")
+    born = nodes.where("n_in = 0").select(F.col("born_f").alias("frame"), zero.alias("a"), F.col("node_id").alias("b"))
+    died = nodes.where("n_out = 0").select(F.col("died_f").alias("frame"), F.col("node_id").alias("a"), zero.alias("b"))
+    return born.unionAll(died).unionAll(edges.select(F.col("src_died_f").alias("frame"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def summary_lines(events: DataFrame, heads: DataFrame, written: DataFrame) -> DataFrame:
     """frame, line: a frame's head columns and its pairs behind '%%'; ids that weren't written become 0, and '0 0' goes.
 

@@ -8,6 +8,9 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,27 @@ def on_grid(df: DataFrame, step: float, columns: list[str], keys=KEYS, time: str
     return points.select(*keys, "tick", *[(F.col(c) + part * (F.col(f"_{c}") - F.col(c))).alias(c) for c in columns])
 
 
+def _mean(values: Column) -> Column:
+    """Mean of an array, added up in order."""
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def _spread(values: Column) -> Column:
+    """Population deviation of an array by running means.
+
+    Ten almost equal speeds deviate by rounding alone, and whether one of them is
+    far from the others hangs on the last bit; each step is rounded as SQL engines
+    with this algorithm round it, which ``stddev_pop`` does otherwise.
+    """
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(s: Column, x: Column) -> Column:
+        mean = s["mean"] + (x - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    return F.aggregate(values, start, add, lambda s: F.sqrt(s["squares"] / s["n"]))
+
+
 def drop_outliers(df: DataFrame, column: str, keys=KEYS, order: str = "tick", rounds: int = 10, limit: float = 2.3263, least_rows: float = 23.1) -> DataFrame:
     """``df`` without rows that are more than ``limit`` deviations from the mean of the ten rows around, looked for ``rounds`` times in what is left.
 
@@ -61,9 +85,10 @@ def drop_outliers(df: DataFrame, column: str, keys=KEYS, order: str = "tick", ro
     near = w.rowsBetween(-5, 4)
     for _ in range(rounds):
         n, at = F.count(F.lit(1)).over(whole), F.row_number().over(w)
-        spread = F.stddev_pop(column).over(near)
-        far = (F.abs(F.col(column) - F.avg(column).over(near)) > limit * spread) & (spread > 0)
-        df = df.withColumn("_far", F.coalesce(far & (n >= least_rows) & (at > 5) & (at <= n - 5), F.lit(False))).where("NOT _far").drop("_far")
+        df = df.withColumns({"_near": F.collect_list(column).over(near), "_inner": (n >= least_rows) & (at > 5) & (at <= n - 5)})
+        spread = _spread(F.col("_near"))
+        far = (F.abs(F.col(column) - _mean(F.col("_near"))) > limit * spread) & (spread > 0)
+        df = df.withColumn("_far", F.coalesce(F.when(F.col("_inner"), far), F.lit(False))).where("NOT _far").drop("_far", "_near", "_inner")
     return df
 
 
@@ -72,8 +97,14 @@ def segment_speed(df: DataFrame, unit: float = 1.0, width: int = 15, keys=KEYS,
     filled = padded_boxcar(fill_long_gaps(df, unit, ["x", "y"], keys), ["x", "y"], width, keys)
     grid = on_grid(filled, unit, ["x", "y"], keys)
     w = Window.partitionBy(*keys).orderBy("tick")
-    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) / (F.col("tick") - F.lag("tick").over(w))
-    out = grid.withColumn("speed", step).where("speed IS NOT NULL")
+    steps = grid.withColumns({f"_{c}": F.col(c) - F.lag(c).over(w) for c in ("x", "y", "tick")})
+
+    def squares(values: pa.Array) -> pa.Array:
+        """By C's ``pow``, which SQL engines raise with: it rounds one in 2,000 otherwise than a product."""
+        return pa.array([x if x is None else math.pow(x, 2.0) if abs(x) < 1e150 else x * x for x in values.to_pylist()], pa.float64())
+
+    square = F.arrow_udf(squares, "double")
+    out = steps.withColumn("speed", F.sqrt(square("_x") + square("_y")) / F.col("_tick")).where("speed IS NOT NULL").drop("_x", "_y", "_tick")
     return drop_outliers(out, "speed", keys) if remove_outliers else out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators import graph as g
 from trackloom.operators import matching, stops
-from trackloom.plans.graph_queries import D_SQL, E_SQL, WITHIN, diamond_graph, session_graph
+from trackloom.plans.graph_queries import D_SQL, E_SQL, WITHIN, changed_around, crossings, diamond_graph
 from trackloom.plans.lineage import cut
 from trackloom.plans.registry import query
 from trackloom.sources import sinks
@@ -162,14 +162,6 @@ f AS (SELECT DISTINCT a.head AS src, b.head AS dst FROM e JOIN v a ON a.node_id
 @query(f"WITH RECURSIVE {E_SQL}, {UNTANGLED} SELECT head AS node_id, CAST(count(*) AS INT) AS n_parts, (SELECT count(*) FROM f WHERE dst = head) AS n_in, (SELECT count(*) FROM f WHERE src = head) AS n_out FROM v GROUP BY head")
 def untangled(spark, sf_dir):
     """Two-in-two-out tracks dissolved: the smaller parent goes on as the smaller child, the larger as the larger."""
-    nodes, edges = graph = g.settle(session_graph(spark, sf_dir))
-    two = g.with_degrees(*graph).where("n_in = 2 and n_out = 2").select("node_id")
-    near = two.join(edges, edges["dst"] == two["node_id"]).select(F.col("src").alias("id")).union(two.join(edges, edges["src"] == two["node_id"]).select("dst"))
-    two = two.join(near.toDF("node_id").distinct(), "node_id", "left_anti")  # none beside another
-    parents = two.join(edges, edges["dst"] == two["node_id"]).groupBy("node_id").agg(F.min("src").alias("p0"), F.max("src").alias("p1"))
-    children = two.join(edges, edges["src"] == two["node_id"]).groupBy("node_id").agg(F.min("dst").alias("c0"), F.max("dst").alias("c1"))
-    rows = parents.join(children, "node_id").select("node_id", F.explode(F.array(F.struct(F.col("p0").alias("p"), F.col("c0").alias("c")), F.struct(F.col("p1").alias("p"), F.col("c1").alias("c")))).alias("x"))
-    pairs = rows.select(F.col("node_id").alias("collision"), F.col("x.p").alias("parent"), F.col("x.c").alias("child"))
+    nodes, pairs = crossings(spark, sf_dir, alone=True)
     once = pairs.groupBy("child").agg(F.min(F.struct("collision", "parent")).alias("m")).select(F.col("m.collision").alias("collision"), F.col("m.parent").alias("parent"), "child")
-    out = g.untangle(graph, once)
-    return g.with_degrees(*out).select("node_id", F.size("components").alias("n_parts"), "n_in", "n_out")
+    return changed_around(nodes, pairs, lambda graph: g.untangle(graph, once))

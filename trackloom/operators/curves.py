@@ -6,14 +6,15 @@ Place is an integer that orders a curve's points.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import FIRST_CHARACTER
-from trackloom.operators.batches import along_sorted
+from trackloom.operators.batches import along_sorted, arrow_schema
 from trackloom.operators.models import savgol
 from trackloom.operators.series import interpolate_grid
 from trackloom.plans.lineage import cut
@@ -41,21 +42,52 @@ def spaced(df: DataFrame, n: int | None = None, keys: tuple[str, ...] = ("bid",)
     return made.select(*keys, F.col("place").alias(place), value("x").alias("x"), value("y").alias("y"))
 
 
+def _moves(code: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and y after each of the first ``n`` steps of an outline code, from 0."""
+    v = np.frombuffer(code.encode("utf-32-le"), np.uint32)[: max(0, -(-n // 3))].astype(np.int64) - FIRST_CHARACTER
+    s = (v[:, None] >> np.array([4, 2, 0]) & 3).ravel()[: max(0, n)]
+    return np.cumsum(np.array([-1, 1, 0, 0])[s]), np.cumsum(np.array([0, 0, -1, 1])[s])
+
+
+def _whole_codes(df: DataFrame, key: str, x: str, y: str, n: str, code: str) -> DataFrame:
+    rows = df.select(F.col(key).alias("key"), F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"), F.col(n).cast("long").alias("n"), F.col(code).alias("code"))
+    return rows.dropna(subset=["x", "y", "n", "code"])
+
+
 def outline_points(df: DataFrame, key: str, x: str = "x", y: str = "y", n: str = "n", code: str = "code") -> DataFrame:
     """key, place, x, y: the points of outline codes as rows, the start (place 0) and one for each of the first n steps.
 
-    The steps are rows and the places running sums over them, so the work grows
-    with the length of a code. Codes with a null part have no rows.
+    A code's points are made where the code is, some codes at a time, and not
+    shuffled. Codes with a null part have no rows.
     """
-    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(n).isNotNull() & F.col(code).isNotNull())
-    letters = whole.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(n).alias("_m"), F.posexplode(F.split(F.col(code), "")).alias("_c", "_char")).where("_char != ''")
-    bits = F.ascii("_char") - FIRST_CHARACTER
-    three = F.array(*[F.shiftright(bits, s).bitwiseAND(F.lit(3)) for s in (4, 2, 0)])
-    steps = letters.select(key, "_x", "_y", "_m", "_c", F.posexplode(three).alias("_k", "_s")).withColumn("place", 3 * F.col("_c") + F.col("_k") + 1).where("place <= _m")
-    dx, dy = F.when(F.col("_s") == 0, -1).when(F.col("_s") == 1, 1).otherwise(0), F.when(F.col("_s") == 2, -1).when(F.col("_s") == 3, 1).otherwise(0)
-    w = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    moved = steps.select(key, "place", (F.col("_x") + F.sum(dx).over(w)).alias("x"), (F.col("_y") + F.sum(dy).over(w)).alias("y"))
-    return whole.select(key, F.lit(0).alias("place"), F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).union(moved)
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, place int, x long, y long"
+    form = arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (x0, y0, m, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("x", "y", "n", "code")])):
+                dx, dy = (np.append(0, d) for d in _moves(text, m))
+                same = batch.column("key").take(pa.array(np.full(len(dx), i)))
+                yield pa.RecordBatch.from_arrays([same, pa.array(np.arange(len(dx), dtype=np.int32)), pa.array(x0 + dx), pa.array(y0 + dy)], schema=form)
+
+    return _whole_codes(df, key, x, y, n, code).mapInArrow(run, schema)
+
+
+def outline_extents(df: DataFrame, key: str, x: str = "x", y: str = "y", n: str = "n", code: str = "code") -> DataFrame:
+    """key, steps, x, y (the last point) and bounds of outline codes; codes with a null part have no row."""
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, steps int, x int, y int, x_min int, x_max int, y_min int, y_max int"
+    form = arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x0, y0, m, text in zip(*[batch.column(c).to_pylist() for c in ("x", "y", "n", "code")]):
+                px, py = (np.append(0, d) for d in _moves(text, m))
+                out.append((len(px) - 1, x0 + int(px[-1]), y0 + int(py[-1]), x0 + int(px.min()), x0 + int(px.max()), y0 + int(py.min()), y0 + int(py.max())))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(c, f.type) for c, f in zip(zip(*out), list(form)[1:])]], schema=form)
+
+    return _whole_codes(df, key, x, y, n, code).mapInArrow(run, schema)
 
 
 def smoothed(df: DataFrame, width: int, order: int, keys: tuple[str, ...] = ("bid",), by: str = "place") -> DataFrame:

@@ -110,8 +110,8 @@ def segment_speed(df: DataFrame, unit: float = 1.0, width: int = 15, keys=KEYS,
 
 def slow_enough(speeds: DataFrame, most: float, key: str = "bid") -> DataFrame:
     """The rows of the objects whose greatest speed is at most ``most``."""
-    fit = speeds.groupBy(key).agg(F.max("speed").alias("_most")).where(F.col("_most") <= most).select(key)
-    return speeds.join(fit, key, "left_semi")
+    greatest = F.max("speed").over(Window.partitionBy(key))  # in the task that has the object's rows: they are neither made twice nor joined
+    return speeds.where(F.col(key).isNotNull()).withColumn("_most", greatest).where(F.col("_most") <= most).drop("_most")
 
 
 def long_segments(df: DataFrame, least_rows: int, least_time: float, start: float | None = None, keys=KEYS, time: str = "time") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.operators import motion
+from trackloom.operators.batches import in_tasks
 from trackloom.plans.registry import query
 from trackloom.sources.tracks import S_SQL, T_SQL, observations, with_segments
 
@@ -14,8 +15,13 @@ PAUSE = 4 * 3600
 r6 = lambda c: F.round(c, 6) + 0.0
 
 
+#: Observations of a task; speeds make about twenty rows of each.
+OBSERVATIONS = 20_000
+
+
 def segments(spark, sf_dir):
-    return with_segments(observations(spark, sf_dir), PAUSE)
+    rows = observations(spark, sf_dir, lambda events: in_tasks(events, events.count(), OBSERVATIONS, "bid"))
+    return with_segments(rows, PAUSE)
 
 
 P = "PARTITION BY bid, segment ORDER BY time"

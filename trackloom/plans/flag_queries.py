@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.operators import flags
+from trackloom.operators import curves, flags
 from trackloom.plans.registry import query
-from trackloom.plans.stat_queries import _paths
+from trackloom.plans.motion_queries import segments
 from trackloom.sources.tracks import S_SQL, T_SQL, observations, table
 
 r6 = lambda c: F.round(c, 6) + 0.0
@@ -43,8 +43,8 @@ g AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(run) OVER w AS
 a AS (SELECT k.*, g.x, g.y, g.run, g.x2, g.y2, g.run2 FROM k JOIN g ON k.bid = g.bid AND k.segment = g.segment AND k.target >= g.run AND (k.target < g.run2 OR g.run2 IS NULL))
 SELECT bid, CAST(segment AS BIGINT) AS segment, CAST(place AS INT) AS place, round(CASE WHEN x2 IS NULL THEN x ELSE x + (target - run) / (run2 - run) * (x2 - x) END, 6) + 0.0 AS x, round(CASE WHEN y2 IS NULL THEN y ELSE y + (target - run) / (run2 - run) * (y2 - y) END, 6) + 0.0 AS y FROM a""")
 def resampled_paths(spark, sf_dir):
-    out = _paths(spark, sf_dir).select("bid", "segment", flags.resample(F.col("points"), 11).alias("points")).where("points is not null")
-    return out.select("bid", "segment", F.posexplode("points").alias("place", "p")).select("bid", "segment", "place", r6("p.x").alias("x"), r6("p.y").alias("y"))
+    out = curves.spaced(segments(spark, sf_dir).select("bid", "segment", "frame", "x", "y"), 11, ("bid", "segment"), "frame")
+    return out.select("bid", "segment", F.col("frame").cast("int").alias("place"), r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query(f"WITH {T_SQL}, m AS (SELECT bid, floor(time / 86400) AS m, avg(x) AS v FROM t GROUP BY 1, 2) SELECT bid, round(-regr_slope(ln(v), m), 6) + 0.0 AS rate, round(exp(regr_intercept(ln(v), m)), 4) + 0.0 AS start, count(*) AS n FROM m WHERE v > 0 GROUP BY bid")

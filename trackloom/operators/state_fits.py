@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.batches import arrow_schema, batch_of, by_group
+from trackloom.operators.batches import arrow_schema, batch_of, by_group, in_tasks
 from trackloom.operators.states import NAMES, transition_matrix
 from trackloom.plans.lineage import cut, stored
 
 CHUNK, MOST_STATES, MOST_ROUNDS = 50_000, 3, 30
+#: Short series that a task fits, some tens of milliseconds each.
+SERIES = 64
 MODEL = "states long, params array<double>, moves array<double>, entropy double, weights array<double>, rounds long"
 
 
@@ -284,7 +286,7 @@ def fitted_states(df: DataFrame, columns: tuple[str, str, str, str], key: str =
     def each(row: dict) -> Iterator[tuple]:
         return ((row["key"], *f) for f in whole_fits(np.array(row["seen"]).reshape(-1, 4), tau, step))
 
-    found = _per_row(whole.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key"), each, f"key {kind}, {MODEL}")
+    found = _per_row(in_tasks(whole, whole.count(), SERIES, "key"), each, f"key {kind}, {MODEL}")
     if long.limit(1).count():
         found = found.union(_long_fits(stored(long, "long-series"), kind, tau, step))
     rows = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("states") - 1)).alias("state"))

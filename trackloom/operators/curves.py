@@ -92,10 +92,30 @@ def outline_extents(df: DataFrame, key: str, x: str = "x", y: str = "y", n: str
 
 def smoothed(df: DataFrame, width: int, order: int, keys: tuple[str, ...] = ("bid",), by: str = "place") -> DataFrame:
     """x, y by a Savitzky-Golay filter of ``width`` rows along ``by`` within ``keys``."""
-    out = df.withColumn("_key", F.struct(*keys))
     for c in ("x", "y"):
-        out = savgol(out, c, width, order, "_key", by).drop(c).withColumnRenamed("smooth", c)
-    return out.drop("_key")
+        df = savgol(df, c, width, order, keys, by).drop(c).withColumnRenamed("smooth", c)
+    return df
+
+
+def smooth_line(v: np.ndarray, weights: list[float]) -> np.ndarray:
+    """``smoothed`` for a whole line of more than half as many values as weights: the same sums in the same order."""
+    half = len(weights) // 2
+    padded = np.concatenate([v[0] - np.abs(v[half:0:-1] - v[0]), v, v[-1] + np.abs(v[-2 : -half - 2 : -1] - v[-1])])
+    total = np.zeros(len(v))
+    for k, c in enumerate(weights):
+        total = total + c * padded[k : k + len(v)]
+    return total
+
+
+def spaced_line(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """``spaced`` for a whole line; None if it has no length."""
+    run = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))])
+    if not run[-1] > 0:
+        return None
+    at, place = run / run[-1] * (n - 1), np.arange(1, n)
+    i = np.searchsorted(at, place, "left")
+    part = (place - at[i - 1]) / (at[i] - at[i - 1])
+    return tuple(np.append(v[0], v[i - 1] + part * (v[i] - v[i - 1])) for v in (x, y))
 
 
 def smoothed_around(df: DataFrame, width: int, order: int, keys: tuple[str, ...] = ("bid",), place: str = "place", around: int = 3) -> DataFrame:

@@ -25,14 +25,14 @@ def savgol_weights(width: int, order: int) -> list[float]:
     return np.linalg.pinv(powers)[0].tolist()
 
 
-def savgol(df: DataFrame, column: str, width: int, order: int, key: str = "bid", by: str = "frame") -> DataFrame:
+def savgol(df: DataFrame, column: str, width: int, order: int, key: str | tuple[str, ...] = "bid", by: str = "frame") -> DataFrame:
     """smooth: Savitzky-Golay filter inside the database engine; ends are padded by reflection at the first and last value.
 
     A missing neighbour k rows before the first value y0 is y0 - |y_k - y0|, after the last it is yN + |y_k - yN|.
     """
-    half = width // 2
-    w = Window.partitionBy(key).orderBy(by)
-    n, i = F.count(F.lit(1)).over(Window.partitionBy(key)), F.row_number().over(w)
+    half, keys = width // 2, [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy(by)
+    n, i = F.count(F.lit(1)).over(Window.partitionBy(*keys)), F.row_number().over(w)
     first, last = F.first(column).over(w), F.last(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     df = df.withColumns({"_n": n, "_i": i, "_first": first, "_last": last})
     around = F.collect_list(F.struct(F.col(column).cast("double").alias("v"))).over(w.rowsBetween(-width, width))

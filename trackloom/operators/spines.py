@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import displacement_along
-from trackloom.operators.curves import kept_direction, smoothed, spaced
+from trackloom.operators.curves import kept_direction, smooth_line, spaced_line
 from trackloom.operators.images import fill_points, thin
+from trackloom.operators.models import savgol_weights
 
 POINTS = "array<struct<x:int,y:int>>"
 
@@ -75,8 +78,26 @@ def spine_of_mask(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x + int(low[0]), y + int(low[1])) for x, y in path] if len(path) > 1 else []
 
 
+#: Shapes whose spines a task remembers.
+SHAPES = 4096
+
+
+@lru_cache(maxsize=SHAPES)
+def spine_of_shape(shape: bytes) -> np.ndarray:
+    """The spine of a closed outline (int64 x and y of its points in turn, the least of each 0); a shape's place doesn't matter for it."""
+    points = [{"x": x, "y": y} for x, y in np.frombuffer(shape, np.int64).reshape(-1, 2).tolist()]
+    return np.array(spine_of_mask(fill_points(points)), np.int64).reshape(-1, 2)
+
+
 def _spines(outlines: pd.Series) -> pd.Series:
-    return outlines.map(lambda ps: [{"x": x, "y": y} for x, y in spine_of_mask(fill_points(list(ps) if ps is not None else []))])
+    def one(ps: Iterable[dict] | None) -> list[dict]:
+        points = np.array([(p["x"], p["y"]) for p in ps] if ps is not None else [], np.int64).reshape(-1, 2)
+        if not len(points):
+            return []
+        low = points.min(axis=0)
+        return [{"x": x, "y": y} for x, y in (spine_of_shape((points - low).tobytes()) + low).tolist()]
+
+    return outlines.map(one)
 
 
 def spine_from_outline(outline: Column) -> Column:
@@ -94,13 +115,22 @@ def treated_spines(df: DataFrame, spine: str, width: int = 13, order: int = 3, n
 
     Spines of at most 1.5 * ``width`` points are left out, and the one after such a gap is read as it is.
     """
-    long = df.where(F.size(spine) > 1.5 * width)
-    points = spaced(smoothed(spine_rows(long, spine, key, by), width, order, (key, by)), n, (key, by))
-    point = F.struct("x", "y")
-    ends = points.groupBy(key, by).agg(F.min_by(point, "place").alias("begin"), F.max_by(point, "place").alias("end"))
-    faced = kept_direction(df.select(key, by).join(ends, [key, by], "left"), F.col("begin"), F.col("end"), (key,), by)
-    out = points.join(faced.select(key, by, "turned"), [key, by])
-    return out.select(key, by, F.when(F.col("turned"), n - 1 - F.col("place")).otherwise(F.col("place")).alias("place"), "x", "y")
+    weights, low = savgol_weights(width, order), 1.5 * width
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def treated(found: pd.Series) -> pd.Series:
+        def one(ps: Iterable[dict] | None) -> list[dict] | None:
+            if ps is None or len(ps) <= low:
+                return None
+            line = spaced_line(*(smooth_line(np.array([p[c] for p in ps], float), weights) for c in ("x", "y")), n)
+            return None if line is None else [{"x": x, "y": y} for x, y in zip(*(v.tolist() for v in line))]
+
+        return found.map(one)
+
+    rows = df.select(key, by, treated(spine).alias("_points"))
+    faced = kept_direction(rows, F.get("_points", F.lit(0)), F.element_at("_points", -1), (key,), by)
+    out = faced.select(key, by, "turned", F.posexplode("_points").alias("place", "p"))
+    return out.select(key, by, F.when(F.col("turned"), n - 1 - F.col("place")).otherwise(F.col("place")).cast("long").alias("place"), "p.x", "p.y")
 
 
 def width_at(spine: Column, outline: Column, place: Column) -> Column:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import images, models, series, stats, tracks
+from trackloom.operators import images, models, readings, series, stats, tracks
 
 
 def frame(spark, **columns):
@@ -148,3 +148,12 @@ def test_exact_quantiles(spark):
     assert got == {p: pytest.approx(float(np.quantile(x, p))) for p in (0.0, 0.1, 0.5, 0.77, 1.0)}
     assert stats.exact_quantiles(df.limit(0), "v", [0.5]).count() == 0
     assert stats.exact_quantiles(spark.createDataFrame([(2.0,)], "v double"), "v", [0.5]).first().value == 2.0
+
+
+def test_turns_of_steps_of_no_length(spark):
+    """Beside a step back on both axes the inner product is -0, and C's atan2 gives half a turn."""
+    df = frame(spark, x=[5.0, 5.0, 3.0, 3.0, 7.0, 7.0], y=[5.0, 5.0, 2.0, 2.0, 1.0, 9.0], time=[0.0, 1.0, 2.0, 3.0, 4.0, 5.0])
+    want = [np.pi, np.pi, 0.0, np.pi / 2 + np.arctan2(1.0, 4.0)]
+    assert np.allclose(column(series.turning_angle(df), "angle")[1:-1], want)
+    assert np.allclose(column(stats.markov_measures(df), "turn")[2:], want)
+    assert np.isclose(readings.track_statistics(df).first()["turned"], sum(want))

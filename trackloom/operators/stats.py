@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.series import turn
+
 
 def running_totals(df: DataFrame, value: str, columns: list[str], width: float, keys: list[str] | None = None) -> DataFrame:
     """``df`` (one row a key and value) with run_<column>: sums up to and with this value.
@@ -101,7 +103,7 @@ def markov_measures(df: DataFrame, key: str = "bid", order: str = "frame", dt: f
     a, b = F.hypot("_ax", "_ay"), F.hypot("_bx", "_by")
     inner = F.col("_ax") * F.col("_bx") + F.col("_ay") * F.col("_by")
     cross = F.col("_ax") * F.col("_by") - F.col("_ay") * F.col("_bx") + 0.0
-    return df.withColumns({"reversal": inner < 0, "speed": b / dt, "acceleration": (b - a) / (dt * dt), "turn": F.atan2(cross, inner)}).drop("_ax", "_ay", "_bx", "_by")
+    return df.withColumns({"reversal": inner < 0, "speed": b / dt, "acceleration": (b - a) / (dt * dt), "turn": turn(cross, inner)}).drop("_ax", "_ay", "_bx", "_by")
 
 
 def regression_lines(df: DataFrame, key: str, y: str, x: str) -> DataFrame:

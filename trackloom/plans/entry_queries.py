@@ -112,8 +112,10 @@ def wide_matrix(spark, sf_dir):
 
 @query(f"WITH {e_sql(800)} SELECT src, dst, a.bid AS bid_1, b.bid AS bid_2, a.tN AS end_1, b.tN AS end_2 FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst")
 def pair_attributes(spark, sf_dir):
-    nodes = tracks(spark, sf_dir)
-    return entries.pair_attributes(track_edges(nodes, 800), "src", "dst", nodes.select("node_id", "bid", F.col("tN").alias("end")), "node_id")
+    """The attributes come along with the edges, far more than the tracks, and nothing is joined with them."""
+    nodes = tracks(spark, sf_dir).withColumns({"object": F.col("bid"), "end": F.col("tN")})
+    edges = track_edges(nodes, 800, src=("object", "end"), dst=("object", "end"))
+    return edges.select("dst", "src", F.col("src_object").alias("bid_1"), F.col("src_end").alias("end_1"), F.col("dst_object").alias("bid_2"), F.col("dst_end").alias("end_2"))
 
 
 @query(f"""WITH {T_SQL}, k AS (SELECT *, CAST(round(time / 3600) AS BIGINT) AS tick FROM t),

@@ -101,9 +101,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_time: str, right_tim
     """Each left row with the right row of the nearest time (ties: the earlier, then the smaller payload).
 
     Both sides are put on one time line cut into steps of ``step``; every step
-    gets the last right row before it and the first after it, so a left row
-    compares with what its own step has and with these two. ``step`` should
-    hold a few right rows.
+    gets the last right row before it and the first after it. In its own step a left row
+    sees the last right row up to it and the first after it, by windows over both:
+    no pairs are made.
     """
     r = right.select(F.col(right_time).alias("_rt"), *payload)
     cells = r.groupBy(F.floor(F.col("_rt") / step).alias("_cell")).agg(F.min(F.struct("_rt", *payload)).alias("first"), F.max(F.struct("_rt", *[F.col(c) for c in payload])).alias("last"))
@@ -120,7 +120,14 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_time: str, right_tim
         F.coalesce(F.min("first").over(inner.rowsBetween(1, Window.unboundedFollowing)), "_after").alias("_after"),
     )
     l = left.withColumn("_cell", F.floor(F.col(left_time) / step))
-    own = l.join(r.withColumn("_cell", F.floor(F.col("_rt") / step)), "_cell").select(left_key, left_time, F.struct("_rt", *payload).alias("_m"))
+    times = r.where("_rt IS NOT NULL").groupBy(F.floor(F.col("_rt") / step).alias("_cell"), "_rt").agg(F.min(F.struct("_rt", *payload)).alias("_m"))
+    none = times.schema["_m"].dataType
+    both = l.where("_cell IS NOT NULL").select("_cell", F.col(left_time).cast("double").alias("_at"), F.lit(1).alias("_side"), left_key, left_time, F.lit(None).cast(none).alias("_m"))
+    kind = lambda c: left.schema[c].dataType
+    both = both.unionAll(times.select("_cell", F.col("_rt").cast("double"), F.lit(0), F.lit(None).cast(kind(left_key)), F.lit(None).cast(kind(left_time)), "_m"))
+    passed = lambda *order: F.last("_m", True).over(Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_last", passed("_at", "_side")).withColumn("_first", passed(F.desc("_at"), F.desc("_side")))  # a right row of the same time is the last
+    own = both.where("_side = 1").select(left_key, left_time, F.explode(F.filter(F.array("_last", "_first"), lambda m: m.isNotNull())).alias("_m"))
     far = l.join(line, "_cell").select(left_key, left_time, F.explode(F.filter(F.array("_before", "_after"), lambda m: m.isNotNull())).alias("_m"))
     best = own.union(far).groupBy(left_key).agg(F.min(F.struct(F.abs(F.col("_m._rt") - F.col(left_time)).alias("d"), F.col("_m"))).alias("best"))
     return best.select(left_key, F.col("best.d").alias("distance"), F.col("best._m._rt").alias(right_time), *[F.col(f"best._m.{c}").alias(c) for c in payload])

@@ -318,3 +318,22 @@ def test_steps_in_space_against_a_loop(spark):
     got = curves.stepped(spark.createDataFrame(rows, "bid int, place int, x double, y double"), 0.7).collect()
     got = sorted((r.bid, r.place, r.at, r.x, r.y) for r in got)
     assert len(got) == len(want) and np.allclose(got, want)
+
+
+def test_crossings_that_are_laid_are_walked_alike_and_not_shuffled(spark):
+    """Masks that come from one row of a task stay there; the same masks elsewhere, and a group over many batches, have the same outcome."""
+    rows = []
+    for k in range(6):
+        *sets, frames, _ = crossing(k)
+        for copy in range(3):
+            rows += [(10 * k + copy, role, t, [{"x": p["x"] + 100 * copy, "y": p["y"] - copy} for p in points]) for _, role, t, points in rows_of(k, *sets, frames)]
+    masks = spark.createDataFrame(rows, MASKS)
+    want = sorted(map(tuple, unzip.unzipped(masks).collect()))
+    assert [r[1:] for r in want[::3]] == [r[1:] for r in want[1::3]] == [r[1:] for r in want[2::3]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = unzip.unzipped(masks.coalesce(1), laid=True)
+        assert sorted(map(tuple, found.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Repartition" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Repartition 1, false", "")

@@ -9,13 +9,15 @@ children's; the walk ends as soon as one pairing leads.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.batches import by_group
+from trackloom.operators.batches import ROWS, arrow_schema, batch_of, by_group, dealt, whole_groups
 from trackloom.operators.images import ends_and_branches, ring_of, thin
 
 # Pixels nearer than NEAR to one body and farther than FAR from the other are that body's; bodies grow within REACH pixels.
@@ -156,7 +158,21 @@ def walk(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, frames: lis
     return verdict[0], steps, verdict[1], verdict[2]
 
 
-def unzipped(masks: DataFrame, collision: str = "collision", margin: int = 10, most: int = 50) -> DataFrame:
+#: Bytes of masks whose outcome a worker remembers.
+REMEMBERED = 1 << 24
+_known: dict[tuple, tuple | None] = {}
+
+
+def remembered(asked: tuple, answer: Callable[[], tuple | None]) -> tuple | None:
+    """``answer()``, or what it was when it was last asked; asked: the roles, numbers of pixels and pixels, as bytes, and the settings."""
+    if asked not in _known:
+        if (len(_known) + 1) * len(asked[2]) > REMEMBERED:
+            _known.clear()
+        _known[asked] = answer()
+    return _known[asked]
+
+
+def unzipped(masks: DataFrame, collision: str = "collision", margin: int = 10, most: int = 50, laid: bool = False) -> DataFrame:
     """collision, verdict, steps, straight, crossed for rows (collision, role, frame, points: an array of struct<x, y>).
 
     Roles: a and b, the parents' last masks; x and y, the children's first; c, the
@@ -165,23 +181,42 @@ def unzipped(masks: DataFrame, collision: str = "collision", margin: int = 10, m
     ``margin`` pixels in any frame, nor after the last. Of more than ``most``
     frames every k-th is walked, k being the frames over ``most``, rounded down. A
     collision without one mask of each of a, b, x and y has no row; an empty or
-    null mask of a frame counts as no frame.
+    null mask of a frame counts as no frame. ``laid``: all masks of a collision are
+    in one partition, so that they, far larger than the result, aren't shuffled.
+    Masks that are the same but for their place are walked once in a while.
     """
-    kind = masks.schema[collision].dataType.simpleString()
+    ddl = f"{collision} {masks.schema[collision].dataType.simpleString()}, verdict string, steps long, straight long, crossed long"
+    schema = arrow_schema(ddl)
     points = F.coalesce(F.col("points"), F.array().cast("array<struct<x:int,y:int>>"))
     rows = masks.select(collision, "role", F.col("frame").cast("long").alias("frame"), F.transform(points, lambda p: p.x.cast("int")).alias("xs"), F.transform(points, lambda p: p.y.cast("int")).alias("ys"))
 
-    def each(key: tuple, found: list[tuple]) -> Iterator[tuple]:
-        pixels = [np.array([xs, ys], dtype=int).T for _, _, xs, ys in found]
-        ends = {role: p for (role, *_), p in zip(found, pixels) if role != "c"}
+    def outcome(roles: list[str], lengths: np.ndarray, pixels: np.ndarray) -> tuple | None:
+        parts = np.split(pixels, np.cumsum(lengths)[:-1])
+        ends = {role: p for role, p in zip(roles, parts) if role != "c"}
         if set(ends) != {"a", "b", "x", "y"}:
-            return
-        frames = [p for (role, *_), p in zip(found, pixels) if role == "c" and len(p)]
+            return None
+        frames = [p for role, p in zip(roles, parts) if role == "c" and len(p)]
         frames = frames[:: max(1, len(frames) // most)]
         a, b, x, y, *rest = aligned([ends[r] for r in "abxy"] + frames)
-        yield *key, *walk(a, b, x, y, rest, margin)
-
-    return by_group(rows, [collision], ["frame", "role"], each, f"{collision} {kind}, verdict string, steps long, straight long, crossed long")
+        return walk(a, b, x, y, rest, margin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, group in whole_groups(batches, collision):
+            roles, (xs, ys) = group.column("role").to_pylist(), (group.column(c) for c in ("xs", "ys"))
+            lengths = xs.value_lengths().to_numpy()
+            pixels = np.stack([c.flatten().to_numpy() for c in (xs, ys)], axis=1).astype(int)
+            pixels = pixels - pixels[:1]  # the outcome doesn't depend on the place
+            verdict = remembered((tuple(roles), lengths.tobytes(), pixels.tobytes(), margin, most), lambda: outcome(roles, lengths, pixels))  # noqa: B023
+            if verdict is not None:
+                yield key, *verdict
+
+    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = run(batches)
+        while part := list(islice(found, ROWS)):
+            yield batch_of(part, schema)
+
+    rows = rows if laid else dealt(rows, [collision])
+    return rows.sortWithinPartitions(collision, "frame", "role").mapInArrow(result, ddl)
 
 
 def outlines_of(df: DataFrame, outline: str, key: str, by: str = "frame", first: bool | None = None) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import curves, models, spines, unzip
+from trackloom.operators.batches import in_tasks
 from trackloom.plans.registry import query
 from trackloom.plans.stat_queries import OUTLINE_SQL
-from trackloom.sources.shapes import P_SQL, crossings, poses
+from trackloom.sources.shapes import P_SQL, crossing_poses, crossings, poses
 from trackloom.sources.tracks import T_SQL, observations, table
 
 r6 = lambda c: F.round(c, 6) + 0.0
@@ -25,18 +26,27 @@ def mask_distances(spark, sf_dir):
     return found.groupBy("bid", "frame", "distance").agg(F.count("*").alias("cells"), F.sum("x").alias("xs"), F.sum("y").alias("ys"))
 
 
+#: Events of a task; masks are some hundred times as large.
+EVENTS = 20_000
+
+
+def _unzipped(spark, sf_dir):
+    """Events are laid into tasks by object, so that the masks stay in the task that draws them."""
+    masks = crossings(spark, sf_dir, lambda events: in_tasks(events, events.count(), EVENTS, "bid"))
+    return unzip.unzipped(masks, laid=True)
+
+
 @query()
 def unzipped(spark, sf_dir):
     """A crossing of two bars for each pose: which child is whose?"""
-    masks = crossings(spark, sf_dir)
-    truth = masks.where("role = 'a'").select("collision", "truth")
-    return unzip.unzipped(masks).join(truth, "collision")
+    truth = crossing_poses(spark, sf_dir).where("k IS NOT NULL").select("collision", "truth")
+    return _unzipped(spark, sf_dir).join(truth, "collision")
 
 
 @query()
 def unzipped_pairs(spark, sf_dir):
     """Parent and child of the crossings that were resolved; bodies are numbered by collision."""
-    found = unzip.unzipped(crossings(spark, sf_dir))
+    found = _unzipped(spark, sf_dir)
     ids = lambda first: F.array(4 * F.col("collision") + first, 4 * F.col("collision") + first + 1)
     return unzip.untangling(found, ids(0), ids(2))
 

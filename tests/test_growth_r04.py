@@ -1,11 +1,14 @@
 """Pairs that grow with the square of the tracks are neither shuffled nor joined again."""
 
+import collections
 import datetime
+import math
 import random
 
 import pytest
 
 import __spark_entry__ as e
+from trackloom.operators import images
 from trackloom.operators import tracks as op
 
 
@@ -53,3 +56,31 @@ def test_nearest_in_time_makes_no_pairs(spark):
         d, seen, other = min((abs(float(j % 40) + 0.5 - k % 50), float(j % 40) + 0.5, j) for j in range(1000))
         assert rows[k] == (d, seen, other)
     assert joins(found) == 4  # left rows only with their step's row, and tables of steps
+
+
+def test_pairs_leave_a_stretch_in_parts(spark, sf_dir):
+    """A stretch's pairs, far more than its ends and starts, are never one table of a task."""
+    plan = matches_sql(spark, sf_dir, "gap_candidates")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+
+
+def test_parts_are_not_gathered_on_the_driver(spark, tmp_path):
+    rows = [(k, k % 50) for k in range(500) if k % 7]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = e.queries()["split_joins"](spark, str(tmp_path))
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.a for r in df.collect()) == [4 * k for k, size in rows if size + 3 <= 25]
+
+
+def test_tracked_ones_look_into_few_cells(spark):
+    rnd = random.Random(2)
+    objects = [(1, float(rnd.randrange(60)) / 2, float(rnd.randrange(60)) / 2) for _ in range(80)]
+    tracked = [(1, k, float(rnd.randrange(60)) / 2, float(rnd.randrange(60)) / 2) for k in range(200)]
+    found = images.scan_matches(spark.createDataFrame(objects, "image int, x double, y double"), spark.createDataFrame(tracked, "image int, bid int, x double, y double"), "image", 3.0)
+    taken = [min(((math.hypot(x - a, y - b), a, b) for _, a, b in objects if math.hypot(x - a, y - b) <= 3.0), default=None) for _, _, x, y in tracked]
+    counts = collections.Counter(m[1:] for m in taken if m)
+    n = sum(counts.values())
+    r = found.first()
+    assert (r.true_pos, r.false_neg, r.false_pos, r.joined) == (n, len(objects) - len(counts), len(tracked) - n, sum(c > 1 for c in counts.values()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" in plan

@@ -216,11 +216,13 @@ def scan_matches(objects: DataFrame, tracked: DataFrame, image: str, near: float
     A tracked object goes to the nearest object within ``near`` (of equally near
     ones to the smaller x, then y); true_pos: tracked ones with an object,
     false_neg: objects without one, false_pos: tracked ones without, joined:
-    objects that several tracked ones share. Both are put on cells as long as
-    ``near``: an equi-join.
+    objects that several tracked ones share. Both are put on cells four times as
+    long as ``near``, a tracked one on all that it may see something in (9 of 4): an equi-join.
     """
-    cell = lambda c, k=0: F.floor(F.col(c) / near) + k
-    around = F.explode(F.array(*[F.struct((cell("x", i)).alias("cx"), (cell("y", j)).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    cell = lambda c, by=0.0: F.floor((F.col(c) + by) / (4 * near))
+    reach = near * (1 + 1e-6)
+    cells = lambda c: F.sequence(cell(c, -reach), cell(c, reach))
+    around = F.explode(F.flatten(F.transform(cells("x"), lambda i: F.transform(cells("y"), lambda j: F.struct(i.alias("cx"), j.alias("cy"))))))
     there = objects.select(image, F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy")).distinct()
     looked = tracked.select(image, "bid", "x", "y", around.alias("c")).select(image, "bid", "x", "y", "c.cx", "c.cy")
     away = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
